@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters that carry no separable accent mark.
 PLAIN_FROM, PLAIN_TO = "łŁøØđĐħĦıŧŦ", "lLoOdDhHitT"
@@ -17,7 +18,7 @@ VERSION_WORDS = (
 PLACEHOLDER_WORDS = ("id", "unreleased", "unknown", "untitled", "track")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decomposed(values: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks (Arrow batches)."""
     import unicodedata

@@ -209,7 +209,7 @@ def quantile_bins(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         keyed = cuts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], "__cuts")
         joined = df.join(F.broadcast(keyed), _same_key(df, by), "left").drop(*[f"__k{i}" for i in range(len(by))])
     else:
-        joined = df.join(F.broadcast(cuts), F.lit(True), "left")
+        joined = df.withColumn("__cuts", cuts.scalar())
     value_col = F.col(value)
     return joined.withColumn("__qbin", F.size(F.filter("__cuts", lambda c: c < value_col))).drop("__cuts")
 
@@ -226,8 +226,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     def spread(part: DataFrame) -> DataFrame:
         binned = quantile_bins(part, by, "__v")
         placed = position(binned, by, ["__v"], [F.col("__qbin")], "__pos")
-        sizes = part.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
-        joined = _join_back(placed, F.broadcast(sizes), by) if by else placed.join(F.broadcast(sizes), F.lit(True))
+        sizes = (part.groupBy(*by) if by else part).agg(F.count(F.lit(1)).alias("__size"))
+        joined = _join_back(placed, F.broadcast(sizes), by) if by else placed.withColumn("__size", sizes.scalar())
         aggs, outs = [], []
         for i, (n, p) in enumerate(probs.items()):
             rank = F.lit(p) * (F.col("__size") - 1)
@@ -252,3 +252,14 @@ def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     w = Window.partitionBy(*by).orderBy(*order)
     kept = df.withColumn(rank or "__rank", F.row_number().over(w)).filter(F.col(rank or "__rank") <= k)
     return kept if rank else kept.drop("__rank")
+
+
+def attach(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
+    """Add group aggregates to every row by aggregate-then-join, which never gathers a group."""
+    totals = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()])
+    return _join_back(df, totals, list(by))
+
+
+def explode_bins(df: DataFrame, start: Column, end: Column, width: float, name: str = "__cell") -> DataFrame:
+    """One copy of each interval per time bin it touches."""
+    return df.withColumn(name, F.explode(F.sequence(F.floor(start / width), F.floor(end / width))))

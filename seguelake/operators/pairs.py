@@ -92,8 +92,9 @@ def prior_lift(pairs: DataFrame, lifts: DataFrame, keys: list[str], low: float =
 
     ``lifts`` has (kind, bucket, lift): one row per bucket, a dozen in all.
     """
-    table = F.broadcast(lifts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "kind", "bucket"), "lift"))).alias("__lifts")))
-    out = pairs.join(table, F.lit(True), "left")
+    entry = F.struct(F.concat_ws("/", "kind", "bucket"), "lift")
+    table = lifts.agg(F.map_from_entries(F.collect_list(entry)))
+    out = pairs.withColumn("__lifts", table.scalar())
     value = F.lit(1.0)
     for k in keys:
         value = value * F.coalesce(F.try_element_at("__lifts", F.concat(F.lit(f"{k}/"), F.col(k))), F.lit(1.0))
