@@ -208,6 +208,7 @@ def transition_signature(pairs: DataFrame, by: str, min_n: int = 5) -> DataFrame
 def mix_signature(slots: DataFrame, by: str, order: str, bins: list[Column], min_n: int = 6) -> DataFrame:
     """slots(by, order, bpm, vec): eight shape features per mix with at least ``min_n`` vectored rows."""
     from seguelake.functions import tempo
+    from seguelake.operators.vectors import mean_vectors
 
     d = slots.filter(c("vec").isNotNull()).withColumn("vec", vectors.unit(c("vec")))
 
@@ -229,8 +230,8 @@ def mix_signature(slots: DataFrame, by: str, order: str, bins: list[Column], min
         F.count(known).alias("__nb"),
     )
     # sum of all pairwise dot products from the squared length of the summed vectors
-    dims = d.select(by, F.posexplode("vec").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("s"))
-    spread = dims.groupBy(by).agg(F.sum(c("s") * c("s")).alias("__sq"))
+    means = mean_vectors(d, [by], "vec")
+    spread = means.select(by, (vectors.dot(c("mean"), c("mean")) * c("n") * c("n")).alias("__sq"))
     out = base.filter((c("n") >= min_n) & (c("n_jump") >= 4)).join(spread, by)
     out = out.withColumn("palette", (c("__sq") - c("n")) / (c("n") * (c("n") - 1)))
     out = out.withColumn("drift", F.when(c("__nb") > 2, (c("__b1") - c("__b0")) / F.greatest(F.lit(1), c("__nb") - 1)).otherwise(0.0))

@@ -117,9 +117,9 @@ def tempo_band(pool: DataFrame, by: str, tiers=(1.0, 2.0, 4.0, 6.0), descent: fl
 
 def centroid(vecs: DataFrame, vec: str, min_n: int = 20) -> DataFrame:
     """One row with the mean vector, null below ``min_n`` vectors."""
-    dims = vecs.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.count("x").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
-    return dims.agg(F.when(F.max("n") >= min_n, F.transform(ordered, lambda s: s["m"])).alias("mean"))
+    from seguelake.operators.vectors import mean_vectors
+
+    return mean_vectors(vecs, [], vec).select(F.when(c("n") >= min_n, c("mean")).alias("mean"))
 
 
 def sound_sieve(pool: DataFrame, anchor: DataFrame, required: Column, need: int, share: float = 0.2) -> DataFrame:
