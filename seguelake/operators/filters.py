@@ -103,14 +103,19 @@ def event_membership(df: DataFrame, title: str, description: str, rules: list[tu
     return df.withColumn("event", F.when(~c(title).rlike(refused), event)).filter(c("event").isNotNull())
 
 
+def tempo_tier(bpm: Column, target: Column, previous: Column, tiers=(1.0, 2.0, 4.0, 6.0), descent: float = 0.5) -> Column:
+    """Smallest tolerance in percent that admits the tempo; null when none does or it falls below the previous one."""
+    variant = tempo.nearest_variant(target, bpm)
+    falls = previous.isNotNull() & (variant < previous - descent)
+    tier = F.when(bpm.isNull(), tiers[0]).when(falls, None)
+    for t in tiers:
+        tier = tier.when(F.abs(variant - target) <= target * t / 100.0, t)
+    return tier
+
+
 def tempo_band(pool: DataFrame, by: str, tiers=(1.0, 2.0, 4.0, 6.0), descent: float = 0.5) -> DataFrame:
     """pool(req, .., bpm, target, previous): rows of the first tolerance that has any; all rows when none has."""
-    variant = tempo.nearest_variant(c("target"), c("bpm"))
-    gap = F.abs(variant - c("target"))
-    falls = c("previous").isNotNull() & (variant < c("previous") - descent)
-    tier = F.when(c("bpm").isNull(), tiers[0]).when(falls, None)
-    for t in tiers:
-        tier = tier.when(gap <= c("target") * t / 100.0, t)
+    tier = tempo_tier(c("bpm"), c("target"), c("previous"), tiers, descent)
     marked = grouping.attach(pool.withColumn("tier", tier), [by], best=F.min("tier"))
     return marked.filter(c("best").isNull() | (c("tier") <= c("best"))).withColumn("band", c("best")).drop("tier", "best")
 

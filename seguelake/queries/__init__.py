@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 GROUP: dict[str, str] = {}
-MODULES = ["pairs", "filters", "joins", "dedup", "aggregates", "evaluation", "series", "vectors", "texts", "ranking", "quality"]
+MODULES = ["pairs", "filters", "joins", "dedup", "aggregates", "evaluation", "series", "vectors", "texts", "ranking", "quality", "plans", "feeds", "sources"]
 
 
 def query(name: str, sql: str | None = None):
