@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seguelake.session import cut_lineage
+
 LIMIT_SETTING = "seguelake.hotGroupRows"
 DEFAULT_LIMIT = 1_000_000
 QUANTILE_BINS = 256
@@ -56,10 +58,12 @@ def by_size(
     keys = large_groups(df, by)
     if keys is None:
         return plain(df)
+    # several branches read the input from here on: write it once instead of deriving it again for each
+    df = cut_lineage(df)
     if not by:
         return spread(df)
+    keys = F.broadcast(large_groups(df, by))
     cond = _same_key(df, by)
-    keys = F.broadcast(keys)
     small = plain(df.join(keys, cond, "left_anti"))
     return small.unionByName(spread(df.join(keys, cond, "left_semi")))
 
@@ -70,6 +74,24 @@ def _join_back(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
     return left.join(renamed, cond, "left").drop(*[f"__j_{c}" for c in on])
 
 
+def _spread_position(part: DataFrame, by: list[str], order: Sequence[str], bins: Sequence[Column], name: str) -> DataFrame:
+    """Row numbers from per-bin numbers and the sizes of the earlier bins."""
+    part = part.withColumn("__bin", F.struct(*bins))
+    before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        part.groupBy(*by, "__bin")
+        .agg(F.count(F.lit(1)).alias("__c"))
+        .select(*by, "__bin", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    )
+    inner = Window.partitionBy(*by, "__bin").orderBy(*order)
+    ranked = part.withColumn("__r", F.row_number().over(inner))
+    return (
+        _join_back(ranked, offsets, [*by, "__bin"])
+        .withColumn(name, (F.col("__r") + F.col("__off")).cast("long"))
+        .drop("__bin", "__r", "__off")
+    )
+
+
 def position(
     df: DataFrame, by: Sequence[str], order: Sequence[str], bins: Sequence[Column], name: str = "position"
 ) -> DataFrame:
@@ -79,23 +101,7 @@ def position(
     def plain(part: DataFrame) -> DataFrame:
         return part.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
-    def spread(part: DataFrame) -> DataFrame:
-        part = part.withColumn("__bin", F.struct(*bins))
-        before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            part.groupBy(*by, "__bin")
-            .agg(F.count(F.lit(1)).alias("__c"))
-            .select(*by, "__bin", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-        )
-        inner = Window.partitionBy(*by, "__bin").orderBy(*order)
-        ranked = part.withColumn("__r", F.row_number().over(inner))
-        return (
-            _join_back(ranked, offsets, [*by, "__bin"])
-            .withColumn(name, (F.col("__r") + F.col("__off")).cast("long"))
-            .drop("__bin", "__r", "__off")
-        )
-
-    return by_size(df, by, plain, spread)
+    return by_size(df, by, plain, lambda part: _spread_position(part, by, order, bins, name))
 
 
 def windowed(
@@ -119,7 +125,7 @@ def windowed(
         return compute(part, lambda: Window.partitionBy(*by).orderBy(*order))
 
     def spread(part: DataFrame) -> DataFrame:
-        placed = position(part, by, order, bins, "__pos").withColumn(
+        placed = _spread_position(part, by, order, bins, "__pos").withColumn(
             "__home", F.floor((F.col("__pos") - 1) / cell_rows)
         )
         offset = (F.col("__pos") - 1) % cell_rows
@@ -225,7 +231,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
 
     def spread(part: DataFrame) -> DataFrame:
         binned = quantile_bins(part, by, "__v")
-        placed = position(binned, by, ["__v"], [F.col("__qbin")], "__pos")
+        placed = _spread_position(binned, by, ["__v"], [F.col("__qbin")], "__pos")
         sizes = (part.groupBy(*by) if by else part).agg(F.count(F.lit(1)).alias("__size"))
         joined = _join_back(placed, F.broadcast(sizes), by) if by else placed.withColumn("__size", sizes.scalar())
         aggs, outs = [], []

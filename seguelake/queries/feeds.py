@@ -28,7 +28,7 @@ def _(t):
 
 
 BURST = f"""g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g),
- b AS (SELECT user_id, run, CAST(epoch(min(ts)) AS BIGINT) AS start, count(*) AS votes, arg_min(event_type, ts) AS label, max(ts) AS last FROM r GROUP BY 1, 2)"""
+ b AS (SELECT user_id, run, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS votes, arg_min(event_type, ts) AS label, max(ts) AS last FROM r GROUP BY 1, 2)"""
 
 
 def bursts(t):
@@ -86,7 +86,7 @@ def _(t):
     return op.drain(op.progress_counters(d, "stage", "status"), "complete")
 
 
-@query("play_history_state", "SELECT user_id, event_type AS item, count(*) AS plays, CAST(epoch(max(ts)) AS BIGINT) AS last FROM events GROUP BY 1, 2")
+@query("play_history_state", "SELECT user_id, event_type AS item, count(*) AS plays, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM events GROUP BY 1, 2")
 def _(t):
     d = op.play_history(events(t).withColumnRenamed("event_type", "item"), "user_id", "item", "ts")
     return op.drain(d, "update", ["user_id", "item"]).select("user_id", "item", "plays", secs("last"))

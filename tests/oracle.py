@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -81,6 +82,9 @@ if __name__ == "__main__":
     only = sys.argv[2:]
     q.load_all()
     spark = local_session()
+    if os.environ.get("HOT_ROWS"):
+        # treat groups above this size as too large for one task
+        spark.conf.set("seguelake.hotGroupRows", os.environ["HOT_ROWS"])
     con = connect(folder)
     bad = 0
     for name, fn in q.QUERIES.items():
