@@ -30,9 +30,9 @@ def decomposed(values: pd.Series) -> pd.Series:
 
 
 def unaccented(text: Column) -> Column:
-    """Accents removed; only rows with non-ASCII text reach Python."""
+    """Accents removed; rows that are plain ASCII send a null to Python instead of their text."""
     swapped = F.translate(text, PLAIN_FROM, PLAIN_TO)
-    return F.when(swapped.rlike(r"^[\x00-\x7f]*$"), swapped).otherwise(decomposed(swapped))
+    return F.coalesce(decomposed(F.when(swapped.rlike(r"[^\x00-\x7f]"), swapped)), swapped)
 
 
 def words_key(text: Column) -> Column:
@@ -45,9 +45,13 @@ def compact_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(unaccented(text)), r"[^a-z0-9]+", "")
 
 
+def tokens_of(words: Column, longer_than: int = 0) -> Column:
+    """Sorted distinct words of a words key."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(words, " "), lambda w: F.length(w) > longer_than)))
+
+
 def tokens(text: Column, longer_than: int = 0) -> Column:
-    parts = F.filter(F.split(words_key(text), " "), lambda w: F.length(w) > longer_than)
-    return F.array_sort(F.array_distinct(parts))
+    return tokens_of(words_key(text), longer_than)
 
 
 def title_tokens(text: Column) -> Column:
@@ -56,10 +60,9 @@ def title_tokens(text: Column) -> Column:
     return F.filter(tokens(bare), lambda w: ~w.isin(*VERSION_WORDS))
 
 
-def without_version(text: Column) -> Column:
-    """Artist-title key with version words removed."""
-    kept = F.filter(F.split(words_key(text), " "), lambda w: ~w.isin(*VERSION_WORDS))
-    return F.array_join(kept, " ")
+def without_version(words: Column) -> Column:
+    """Words key with version words removed."""
+    return F.array_join(F.filter(F.split(words, " "), lambda w: ~w.isin(*VERSION_WORDS)), " ")
 
 
 def is_placeholder(title: Column) -> Column:

@@ -71,17 +71,21 @@ def chance_pairs(slots: DataFrame, pairs: DataFrame, by: str, order: str, item:
     return drawn.select(by, order, "a", "b")
 
 
-def bucket_distribution(df: DataFrame, bucket: str, digits: int = 1) -> DataFrame:
-    """Rows and percent per bucket; the window only sees one row per bucket."""
-    counts = df.filter(F.col(bucket).isNotNull()).groupBy(F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+def bucket_distribution(df: DataFrame, kinds: list[str], digits: int = 1) -> DataFrame:
+    """Rows and percent per bucket for several bucket columns in one pass.
+
+    The window only sees one row per bucket.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("bucket")) for k in kinds])).alias("x")).select("x.*")
+    counts = long.filter(F.col("bucket").isNotNull()).groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("kind"))
     return counts.withColumn("pct", rounded(F.col("n") / total * 100.0, digits))
 
 
 def preference_lift(real: DataFrame, chance: DataFrame, floor: float = 0.1, low: float = 0.4, high: float = 2.0) -> DataFrame:
     """Observed over expected percent per bucket, floored and clamped."""
-    joined = real.select("bucket", F.col("pct").alias("real_pct")).join(
-        chance.select("bucket", F.col("pct").alias("chance_pct")), "bucket", "full"
+    joined = real.select("kind", "bucket", F.col("pct").alias("real_pct")).join(
+        chance.select("kind", "bucket", F.col("pct").alias("chance_pct")), ["kind", "bucket"], "full"
     )
     ratio = F.coalesce("real_pct", F.lit(floor)) / F.greatest(F.coalesce("chance_pct", F.lit(floor)), F.lit(floor))
     return joined.withColumn("lift", F.least(F.greatest(ratio, F.lit(low)), F.lit(high)))

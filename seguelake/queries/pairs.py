@@ -418,22 +418,16 @@ def bucketed(t, pairs):
     )
 
 
-def distribution(t, kind):
-    return op.bucket_distribution(bucketed(t, slot_pairs(t)), kind), op.bucket_distribution(bucketed(t, chance(t)), kind)
+KINDS = ["tempo", "harmonic"]
 
 
 def all_lifts(t):
-    out = None
-    for kind in ("tempo", "harmonic"):
-        part = op.preference_lift(*distribution(t, kind)).withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return op.preference_lift(op.bucket_distribution(bucketed(t, slot_pairs(t)), KINDS), op.bucket_distribution(bucketed(t, chance(t)), KINDS))
 
 
 @query("bucket_distribution", f"{DIST} SELECT kind, bucket, n, pct FROM dist WHERE src = 'real'")
 def _(t):
-    parts = [distribution(t, k)[0].withColumn("kind", F.lit(k)) for k in ("tempo", "harmonic")]
-    return parts[0].unionByName(parts[1])
+    return op.bucket_distribution(bucketed(t, slot_pairs(t)), KINDS)
 
 
 @query("preference_lift", f"{DIST} SELECT kind, bucket, real_pct, chance_pct, round(lift, 6) AS lift FROM lifts")

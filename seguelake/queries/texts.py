@@ -16,12 +16,13 @@ VW = ", ".join(f"'{w}'" for w in text.VERSION_WORDS)
  sha256(array_to_string(list_filter(string_split({KEY}, ' '), lambda w: w NOT IN ({VW})), ' ')) AS bare FROM documents""",
 )
 def _(t):
-    return t.documents.select(
+    d = t.documents.select("doc_id", text.words_key(c("text")).alias("w"))
+    return d.select(
         "doc_id",
-        F.sha2(text.words_key(c("text")), 256).alias("words"),
-        F.sha2(text.compact_key(c("text")), 256).alias("compact"),
-        F.size(text.tokens(c("text"), 2)).cast("long").alias("n_tokens"),
-        F.sha2(text.without_version(c("text")), 256).alias("bare"),
+        F.sha2("w", 256).alias("words"),
+        F.sha2(F.replace("w", F.lit(" ")), 256).alias("compact"),
+        F.size(text.tokens_of(c("w"), 2)).cast("long").alias("n_tokens"),
+        F.sha2(text.without_version(c("w")), 256).alias("bare"),
     )
 
 

@@ -76,7 +76,7 @@ def scan_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
         "mix_id", "i", c("r.youtube_id").alias("catalog_id"), c("r.track_id").alias("source_id"), "r.alignment.matched", "r.alignment.match_rate", "r.alignment.normalized_cost", "r.track_beatgrid.reliable"
     )
     transitions = good.select("mix_id", F.explode("transitions").alias("x")).select("mix_id", "x.*")
-    return results, transitions, raw.agg(F.count_if(c("_corrupt").isNotNull()).alias("corrupt"))
+    return results, transitions, raw.agg(F.count_if(c("_corrupt").isNotNull()).alias("corrupt"), F.count("mix_id").alias("readable"))
 
 
 def _checked_csv(spark: SparkSession, path: str, schema: str, recursive: bool = False) -> DataFrame:
