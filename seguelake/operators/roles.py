@@ -36,7 +36,7 @@ def curve_features(frames: DataFrame, windows: DataFrame, by: str, bins) -> Data
     base = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("rms").alias("m"), F.min("rms").alias("lo"), F.avg("bass").alias("bass"), F.max("t").alias("last"))
     base = base.join(grouping.quantiles(known, [by], "rms", {"p95": 0.95}), by).withColumn("top", c("p95") + 1e-9)
     fifth = F.greatest(F.lit(1), F.floor(c("n") / 5))
-    placed = grouping.position(known.select(by, "t", "rms"), [by], ["t"], bins, "i").join(base.select(by, "n", "top"), by)
+    placed = grouping.position(known, [by], ["t"], bins, "i").select(by, "rms", "i").join(base.select(by, "n", "top"), by)
     ends = placed.groupBy(by).agg(
         F.avg(F.when(c("i") <= fifth, c("rms") / c("top"))).alias("e_start"),
         F.avg(F.when(c("i") > c("n") - fifth, c("rms") / c("top"))).alias("e_end"),

@@ -29,3 +29,13 @@ def test_query(spark, duck, name):
 
 def test_every_statement_has_a_query():
     assert set(registry.SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 190
+
+
+@pytest.mark.parametrize("name", ["adjacency_pairs", "local_maxima", "set_function", "asof_marker_join", "quantiles_by_group", "anchor_interpolation"])
+def test_query_with_large_groups(spark, duck, name):
+    spark.conf.set("seguelake.hotGroupRows", "20")
+    try:
+        ok, message = compare(spark, duck, name, registry.QUERIES[name], registry.SQL[name], FOLDER)
+    finally:
+        spark.conf.unset("seguelake.hotGroupRows")
+    assert ok, message
