@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguelake.llm import quality_model, quality_rules, records
+from seguelake.llm import jaccard_join, quality_model, quality_rules, records
 from seguelake.llm.words import crc_remainder
 from seguelake.session import scratch_path
 
@@ -30,6 +30,12 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose four-word shingles have a Jaccard similarity of at least 0.85."""
+    return jaccard_join.link_documents(table(spark, folder, "documents"), n=4, percent=85)
+
+
 @query
 def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """Write all documents as framed records and report them from the files."""
