@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguelake.llm import jaccard_join, quality_model, quality_rules, records
+from seguelake.llm import decontaminate, jaccard_join, license_scan, mixture, quality_model, quality_rules, records
 from seguelake.llm.words import crc_remainder
 from seguelake.session import scratch_path
 
@@ -30,6 +30,12 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item found in a document, also with its numbers, names or units replaced."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose four-word shingles have a Jaccard similarity of at least 0.85."""
@@ -56,3 +62,17 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base rule and risk-controlled verdict of every document."""
     judged = quality_rules.assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
+@query
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents chosen for one corpus-sized budget in which no source is repeated over 1.25 times."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    mixed = mixture.realise(docs.drop("text"), mixture.plan(docs))
+    return mixed.select("doc_id", "source", "epoch", "block", "block_key", "doc_key")
+
+
+@query
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scan(table(spark, folder, "documents"))
