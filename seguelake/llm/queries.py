@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguelake.llm import decontaminate, jaccard_join, license_scan, mixture, quality_model, quality_rules, records
+from seguelake.llm import decontaminate, jaccard_join, license_scan, mixture, quality_model, quality_rules, records, toxicity
 from seguelake.llm.words import crc_remainder
 from seguelake.session import scratch_path
 
@@ -36,6 +36,13 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document with its nearest labelled examples, learned from four fifths of the labelled ids."""
+    scored = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"), lambda c: F.expr(f"{crc_remainder(c, 5)} <> 0"))
+    return scored.select("doc_id", F.expr(f"{crc_remainder('doc_id', 5)} = 0").alias("held_out"), "score", "predicted", "evidence")
+
+
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose four-word shingles have a Jaccard similarity of at least 0.85."""
