@@ -35,7 +35,8 @@ from seguelake.llm import words as W
 from seguelake.llm.components import components
 from seguelake.session import cut_lineage
 
-RANK_BITS = 16
+RANK_BITS = 18
+SIEVE_BITS = 24
 ADDERS = 32
 
 
@@ -111,10 +112,10 @@ def _describe(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             id_type = batch.schema.field(0).type
             sizes, classes = [], []
             for block in W.blocks(batch.column(1)):
-                for s in shingle_sets(block, prints, n):
-                    sizes.append(len(s))
-                    classes.append(class_of(s))
-                    np.add.at(seen, (s & np.uint64(len(seen) - 1)).astype(np.int64), 1)
+                sets = shingle_sets(block, prints, n)
+                sizes += [len(s) for s in sets]
+                classes += [class_of(s) for s in sets]
+                seen += np.bincount((np.concatenate(sets) & np.uint64(len(seen) - 1)).astype(np.int64), minlength=len(seen))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=names)
         if id_type is not None:
             tally = zstandard.compress(seen.tobytes(), 1)
@@ -161,22 +162,50 @@ def _postings(docs: DataFrame, n: int, percent: int, ranks: np.ndarray) -> DataF
     return docs.select("text").mapInArrow(run, "key long, cls long, size int, pos int")
 
 
-def _texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(cls, body): one packed text per wanted class."""
+def _sieve(wanted: DataFrame) -> np.ndarray:
+    """A bit table of fixed size in which every wanted class has its bit set; it may let others through."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    whole = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+    for row in wanted.repartition(ADDERS).mapInArrow(mark, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(zstandard.decompress(bytes(row.bits)), np.uint8)
+    return whole
+
+
+def _texts(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
+    """(cls, body): one packed text per class of ``pairs``.  The sieve keeps most other texts out of the shuffle."""
+    wanted = cut_lineage(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))  # 2 MB whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, packer = W.Fingerprints(), zstandard.ZstdCompressor(3)
+        prints, packer, bits = W.Fingerprints(), zstandard.ZstdCompressor(3), shared.value
         for batch in batches:
             for block in W.blocks(batch.column(0)):
-                rows = [(class_of(s), packer.compress(block.data[a:b].tobytes())) for s, a, b in zip(shingle_sets(block, prints, n), block.starts, block.ends) if len(s)]
+                rows = []
+                for s, a, b in zip(shingle_sets(block, prints, n), block.starts, block.ends):
+                    if len(s):
+                        cls = class_of(s)
+                        at = (cls & 0xFFFFFFFFFFFFFFFF) >> (64 - SIEVE_BITS)
+                        if bits[at >> 3] >> (at & 7) & 1:
+                            rows.append((cls, packer.compress(block.data[a:b].tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([z for _, z in rows], pa.binary())], names=["cls", "body"])
 
     bodies = docs.select("text").mapInArrow(run, "cls long, body binary")
-    return cut_lineage(bodies.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("body").alias("body")))
+    return bodies.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("body").alias("body"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (x, y) that are similar, as links (a, b)."""
+    pairs = cut_lineage(pairs)
+    if pairs.isEmpty():
+        return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    texts = cut_lineage(_texts(docs, n, pairs))
     left = texts.select(F.col("cls").alias("x"), F.col("body").alias("body_x"))
     right = texts.select(F.col("cls").alias("y"), F.col("body").alias("body_y"))
     rows = pairs.join(left, "x").join(right, "y").select("x", "y", "body_x", "body_y")
@@ -213,16 +242,17 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id is the smallest linked doc_id."""
     described, ranks = _describe(docs, n)
     posts = _postings(docs, n, percent, ranks)
+    # exact counts first: most n-grams stand in one text only, and those rows need not travel whole
+    often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
+    posts = cut_lineage(posts.join(often, "key", "left_semi").groupBy("key", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos")))
     ends = posts.groupBy("key").agg(F.min(F.struct("cls", "size", "pos")).alias("lo"), F.max(F.struct("cls", "size", "pos")).alias("hi"))
     met = ends.filter("lo.cls <> hi.cls").select(F.col("key").alias("k"), "lo", "hi")
-    shared = posts.join(met, posts["key"] == met["k"]).groupBy("key", "cls").agg(*[F.first(c).alias(c) for c in ("size", "pos", "lo", "hi")])
-    shared = cut_lineage(shared)
-    texts = _texts(docs, n, shared.select("cls").distinct())
+    shared = cut_lineage(posts.join(met, posts["key"] == met["k"]).drop("k"))
 
     own = shared.withColumn("own", F.struct("cls", "size", "pos"))
     stars = [own.filter((F.col("cls") != F.col(f"{e}.cls")) & _possible("own", e, percent)).select(F.col(f"{e}.cls").alias("x"), F.col("cls").alias("y")) for e in ("lo", "hi")]
     pairs = stars[0].union(stars[1]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    links = cut_lineage(_verified(pairs, texts, n, percent))
+    links = cut_lineage(_verified(pairs, docs, n, percent))
     joined = components(links)
 
     placed = shared.join(joined, shared["cls"] == joined["node"], "left").select("key", F.struct("cls", "size", "pos").alias("own"), F.coalesce("label", "cls").alias("comp"))
@@ -233,7 +263,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     q = left_over.select(F.col("key").alias("q_key"), F.col("own").alias("q"), F.col("comp").alias("q_comp"), "major")
     meet = (F.col("key") == F.col("q_key")) & (F.col("p_comp") != F.col("q_comp")) & ((F.col("q_comp") == F.col("major")) | (F.col("p.cls") < F.col("q.cls")))
     crossed = p.join(q, meet & _possible("p", "q", percent)).select(F.least("p.cls", "q.cls").alias("x"), F.greatest("p.cls", "q.cls").alias("y")).distinct()
-    more = cut_lineage(_verified(crossed, texts, n, percent))
+    more = cut_lineage(_verified(crossed, docs, n, percent))
     if not more.isEmpty():
         joined = components(links.union(more))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguelake.llm import decontaminate, jaccard_join, license_scan, mixture, quality_model, quality_rules, records, toxicity
+from seguelake.llm import decontaminate, jaccard_join, license_scan, lz_dedup, mixture, quality_model, quality_rules, records, toxicity
 from seguelake.llm.words import crc_remainder
 from seguelake.session import scratch_path
 
@@ -79,6 +79,12 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "epoch", "block", "block_key", "doc_key")
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of 13-word windows that a smaller id also starts."""
+    return lz_dedup.deduplicate(table(spark, folder, "documents"))
+
+
 @query
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and notices of every document."""
