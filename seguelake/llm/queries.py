@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguelake.llm import decontaminate, jaccard_join, license_scan, lz_dedup, mixture, quality_model, quality_rules, records, toxicity
+from seguelake.llm import decontaminate, jaccard_join, license_scan, lz_dedup, mixture, pitman_yor, quality_model, quality_rules, records, toxicity
 from seguelake.llm.words import crc_remainder
 from seguelake.session import scratch_path
 
@@ -64,6 +65,17 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.expr(f"{crc_remainder('doc_id', 3)} = 1").alias("held_out"), "score", "predicted")
 
 
+@query
+def op6_pitman_yor_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probabilities of every document under a hierarchical Pitman-Yor model of four fifths of them."""
+
+    def remainder(doc_id: int | None) -> int:
+        return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5
+
+    scored = pitman_yor.score(table(spark, folder, "documents"), lambda i: remainder(i) != 1)
+    return scored.select("doc_id", F.expr(f"{crc_remainder('doc_id', 5)} = 1").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base rule and risk-controlled verdict of every document."""
