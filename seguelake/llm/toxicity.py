@@ -2,8 +2,8 @@
 
 Terms are words (runs of letters, ASCII lower-cased) and the first five bytes of
 longer words.  A bounded, hash-ordered sample of labelled documents per class is
-the example store; terms that differ between the classes by a chi-squared test form
-the vocabulary.  Document frequencies of that vocabulary are counted over all
+the example store; terms that differ between the classes by a chi-squared test and by a
+factor in share form the vocabulary.  Document frequencies of that vocabulary are counted over all
 documents.  For every document the exact ``k`` nearest examples by TF-IDF cosine
 are found in an inverted index of blocks: a term keeps the largest weight per block
 of examples, blocks are visited by falling upper bound, and the search stops when
@@ -109,7 +109,7 @@ def _unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / size if size > 0 else w
 
 
-def _vocabulary(docs: DataFrame, sample: DataFrame, sizes: dict[int, int], chi2: float, min_docs: int, max_terms: int) -> np.ndarray:
+def _vocabulary(docs: DataFrame, sample: DataFrame, sizes: dict[int, int], chi2: float, lift: float, min_docs: int, max_terms: int) -> np.ndarray:
     """The terms of the sampled documents that tell the classes apart best, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +130,8 @@ def _vocabulary(docs: DataFrame, sample: DataFrame, sizes: dict[int, int], chi2:
     counted = docs.join(F.broadcast(sample), docs["doc_id"] == sample["id"]).select("label", "text").mapInArrow(run, "term long, a long, n long")
     sums = counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     stat = F.expr(f"{n1 + n0} * pow(a * ({n0} - (n - a)) - (n - a) * ({n1} - a), 2) / (n * ({n1 + n0} - n) * {n1} * {n0})")
+    # with many examples slight differences become significant too; they would fill the vocabulary with common words
+    sums = sums.filter(f"(a + 0.5) / {n1} >= {lift} * (n - a + 0.5) / {n0} OR (n - a + 0.5) / {n0} >= {lift} * (a + 0.5) / {n1}")
     best = sums.filter(f"n < {n1 + n0}").withColumn("stat", stat).filter(F.col("stat") >= chi2).orderBy(F.desc("stat"), "term").limit(max_terms).collect()
     return np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
 
@@ -160,7 +162,7 @@ def _sparse(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
 
 
-def score(docs: DataFrame, labels: DataFrame, teach: Callable[[str], Column], label: str = "toxic", max_examples: int = 6000, max_terms: int = 4096, chi2: float = 20.0, min_docs: int = 3, k: int = 15, inertia: float = 0.05) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, teach: Callable[[str], Column], label: str = "toxic", max_examples: int = 6000, max_terms: int = 4096, chi2: float = 20.0, lift: float = 3.0, min_docs: int = 3, k: int = 15, inertia: float = 0.05) -> DataFrame:
     """(doc_id, score, predicted, evidence) of every document; evidence holds the ids of the three nearest examples.
 
     ``max_examples`` bounds the example store per class and ``max_terms`` the vocabulary.
@@ -171,7 +173,7 @@ def score(docs: DataFrame, labels: DataFrame, teach: Callable[[str], Column], la
     sample = cut_lineage(first_rows(known, ["label"], [F.xxhash64("id"), "id"], max_examples))
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    vocabulary = _vocabulary(docs, sample, sizes, chi2, min_docs, max_terms)
+    vocabulary = _vocabulary(docs, sample, sizes, chi2, lift, min_docs, max_terms)
     sparse = cut_lineage(_sparse(docs, vocabulary))
     frequency = {r.t: r.n for r in sparse.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_docs = sparse.count()
