@@ -7,8 +7,8 @@ n-gram become candidates if the length and positional filters let them; candidat
 are verified once per pair, behind a suffix filter, on the whole sets.
 
 A group of near copies would give a number of pairs that grows with its square.
-Only its connection is wanted, so classes are first compared with the smallest and
-largest class under each n-gram; after that only classes that are still in
+Only its connection is wanted, so classes are first compared with two centres under
+each n-gram, the smallest class and the one with most shared n-grams; after that only classes that are still in
 different components meet.  No link between components can be missed: under every
 shared n-gram the classes outside its most common component meet all others.
 
@@ -38,6 +38,7 @@ from seguelake.session import cut_lineage
 RANK_BITS = 18
 SIEVE_BITS = 24
 ADDERS = 32
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def ceil_div(a, b):
@@ -70,6 +71,12 @@ def class_of(shingles: np.ndarray) -> int:
     return int(W.mix(total).view(np.int64)[0])
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """256 parity bits as four signed numbers.  An n-gram flips one bit, so two sketches differ in no more bits than the sets differ in n-grams."""
+    odd = np.bincount((W.mix(shingles + np.uint64(1)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def ranked(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The set renamed one-to-one so that ascending order is rare-first."""
     low = np.uint64((1 << RANK_BITS) - 1)
@@ -101,27 +108,28 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _describe(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, cls) of every row, and the rank of each hashed n-gram count."""
+    """(doc_id, n_shingles, cls, s0 to s3) of every row, and the rank of each hashed n-gram count."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, seen = W.Fingerprints(), np.zeros(1 << RANK_BITS, np.int64)
-        names = ["doc_id", "n_shingles", "cls", "tally"]
+        names = ["doc_id", "n_shingles", "cls", *SKETCH, "tally"]
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            sizes, classes = [], []
+            sizes, classes, sketches = [], [], [np.zeros((0, 4), np.int64)]
             for block in W.blocks(batch.column(1)):
                 sets = shingle_sets(block, prints, n)
                 sizes += [len(s) for s in sets]
                 classes += [class_of(s) for s in sets]
+                sketches.append(np.stack([parity_sketch(s) for s in sets]))
                 seen += np.bincount((np.concatenate(sets) & np.uint64(len(seen) - 1)).astype(np.int64), minlength=len(seen))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *[pa.array(c) for c in np.concatenate(sketches).T], pa.nulls(len(sizes), pa.binary())], names=names)
         if id_type is not None:
             tally = zstandard.compress(seen.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([tally], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), *[pa.nulls(1, pa.int64())] * 6, pa.array([tally], pa.binary())], names=names)
 
-    both = cut_lineage(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, tally binary"))
+    both = cut_lineage(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, s0 long, s1 long, s2 long, s3 long, tally binary"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RANK_BITS, np.int64)
@@ -231,11 +239,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
 
 def _possible(p: str, q: str, percent: int):
-    """Length and positional filters for one shared n-gram of classes p and q."""
+    """Length, positional and sketch filters for one shared n-gram of classes p and q; none loses a similar pair."""
     need = F.ceil(F.expr(f"{percent} * ({p}.size + {q}.size) / {100 + percent}.0"))
     reach = F.expr(f"least({p}.pos, {q}.pos) + least({p}.size - {p}.pos, {q}.size - {q}.pos)")
     length = F.expr(f"100L * least({p}.size, {q}.size) >= {percent}L * greatest({p}.size, {q}.size)")
-    return length & (reach >= need)
+    apart = F.expr(" + ".join(f"bit_count({p}.{c} ^ {q}.{c})" for c in SKETCH))
+    return length & (reach >= need) & (apart <= F.expr(f"{p}.size + {q}.size") - 2 * need)
 
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -245,17 +254,22 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # exact counts first: most n-grams stand in one text only, and those rows need not travel whole
     often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
     posts = cut_lineage(posts.join(often, "key", "left_semi").groupBy("key", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos")))
-    ends = posts.groupBy("key").agg(F.min(F.struct("cls", "size", "pos")).alias("lo"), F.max(F.struct("cls", "size", "pos")).alias("hi"))
-    met = ends.filter("lo.cls <> hi.cls").select(F.col("key").alias("k"), "lo", "hi")
-    shared = cut_lineage(posts.join(met, posts["key"] == met["k"]).drop("k"))
-
-    own = shared.withColumn("own", F.struct("cls", "size", "pos"))
+    sketches = described.groupBy("cls").agg(*[F.first(c).alias(c) for c in SKETCH])
+    # a class with most of its n-grams shared is the likely origin of its group's copies, so it makes a good centre
+    spread = posts.groupBy("cls").agg(F.count(F.lit(1)).alias("spread"))
+    posts = cut_lineage(posts.join(sketches.join(spread, "cls"), "cls"))
+    side = F.struct("cls", "size", "pos", *SKETCH)
+    ends = posts.groupBy("key").agg(F.min(side).alias("lo"), F.max(F.struct("spread", "cls", "size", "pos", *SKETCH)).alias("hi"), F.max("cls").alias("last"))
+    met = ends.filter("lo.cls <> last").select(F.col("key").alias("k"), "lo", "hi")
+    shared = cut_lineage(posts.join(met, posts["key"] == met["k"]).drop("k", "spread"))
+
+    own = shared.withColumn("own", side)
     stars = [own.filter((F.col("cls") != F.col(f"{e}.cls")) & _possible("own", e, percent)).select(F.col(f"{e}.cls").alias("x"), F.col("cls").alias("y")) for e in ("lo", "hi")]
     pairs = stars[0].union(stars[1]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     links = cut_lineage(_verified(pairs, docs, n, percent))
     joined = components(links)
 
-    placed = shared.join(joined, shared["cls"] == joined["node"], "left").select("key", F.struct("cls", "size", "pos").alias("own"), F.coalesce("label", "cls").alias("comp"))
+    placed = shared.join(joined, shared["cls"] == joined["node"], "left").select("key", side.alias("own"), F.coalesce("label", "cls").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     left_over = cut_lineage(placed.join(mixed.select("key", "major"), "key"))
