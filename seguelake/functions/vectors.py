@@ -20,7 +20,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length 1; the outer lambda binds the length so it is computed once per row."""
-    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.try_divide(x.cast("double"), n)))
     return F.when(F.get(scaled, F.lit(0)).isNotNull() & (norm(a) > 0), F.get(scaled, F.lit(0)))
 
 

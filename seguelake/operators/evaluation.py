@@ -27,13 +27,13 @@ def boundary_metrics(df: DataFrame, predicted: str, truth: str, tolerances=(15.0
     return out.select(
         "total",
         "evaluated",
-        (c("evaluated") / c("total")).alias("coverage"),
+        F.try_divide(c("evaluated"), c("total")).alias("coverage"),
         "mae",
         "q.median",
         "q.p90",
         "h.tolerance",
-        (c("h.hits") / c("evaluated")).alias("rate_evaluated"),
-        (c("h.hits") / c("total")).alias("rate_all"),
+        F.try_divide(c("h.hits"), c("evaluated")).alias("rate_evaluated"),
+        F.try_divide(c("h.hits"), c("total")).alias("rate_all"),
     )
 
 
@@ -193,7 +193,7 @@ def bootstrap_interval(df: DataFrame, block: str, value: str, by: list[str], rep
     u = F.pmod(F.xxhash64(F.lit(seed), c("rep"), c(block)), F.lit(2**31)) / F.lit(float(2**31))
     weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON_CDF), F.lit(0))
     sums = drawn.select(*by, "rep", (weight * c("s")).alias("ws"), (weight * c("k")).alias("wk")).groupBy(*by, "rep").agg(
-        (F.sum("ws") / F.sum("wk")).alias("stat")
+        F.try_divide(F.sum("ws"), F.sum("wk")).alias("stat")
     )
     tail = (1 - level) / 2
     out = sums.groupBy(*by).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seguelake import grouping
@@ -151,7 +151,7 @@ def window_role(windows: DataFrame, guard: int = 8) -> DataFrame:
     """windows(track, peak, start, score, duration, bpm, beats): type by position and rank inside the type.
 
     Outgoing windows without room for the transition plus the guard go last, roomier first.
-    A track has a handful of windows, so the ranking window is small.
+    Every window is ranked.
     """
     pos = c("peak") / c("duration")
     kind = F.when(~(c("duration") > 0) | c("duration").isNull(), "unknown").when(pos < 1 / 3, "mix_in").when(pos > 2 / 3, "mix_out").otherwise("bridge")
@@ -161,7 +161,7 @@ def window_role(windows: DataFrame, guard: int = 8) -> DataFrame:
     order = [
         c("fits").desc(), F.when(~c("fits"), c("room")).desc_nulls_last(), c("score").desc(), c("start")
     ]
-    return grouping.first_rows(d, ["track", "kind"], order, 64, "role_rank")
+    return d.withColumn("role_rank", F.row_number().over(Window.partitionBy("track", "kind").orderBy(*order)))
 
 
 def descriptor_curves(frames: DataFrame, by: str, bins) -> DataFrame:

@@ -19,8 +19,13 @@ c = F.col
 
 def replay(spark: SparkSession, folder: str, table: str, time: str | None = None) -> DataFrame:
     """A parquet table as a file stream; zone-less times become timestamps so that watermarks apply."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    path = f"{folder}/{table}.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        stream = source.parquet(path)
+    else:  # a file source wants a folder
+        stream = source.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
     return stream.withColumn(time, c(time).cast("timestamp")) if time else stream
 
 
