@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from seguelake.llm import words as W
 
 MASK = 0xA282EAD8
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 300_000
+CODED_AT_ONCE = 2_000
 
 
 def masked(crc: int) -> int:
@@ -104,9 +105,10 @@ class PieceEncoder:
                 found[i] = [t.id for t in tokenize(piece.decode())]
             else:
                 rest.append(i)
-        coded = self.tokenizer.encode_batch_fast([raw[start[i] : end[i]].decode() for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, coded):
-            found[i] = e.ids
+        for at in range(0, len(rest), CODED_AT_ONCE):  # encodings take far more room than their ids
+            some = rest[at : at + CODED_AT_ONCE]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([raw[start[i] : end[i]].decode() for i in some], add_special_tokens=False)):
+                found[i] = e.ids
         size = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))])

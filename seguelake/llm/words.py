@@ -1,6 +1,6 @@
 """Words, lines and n-grams of Arrow text columns as numpy arrays.
 
-Text is handled as UTF-8 bytes in blocks of a few megabytes, so that no step
+Text is handled as UTF-8 bytes in blocks of a megabyte, so that no step
 runs per word in Python and memory does not depend on the partition's size.
 Words are identified by 64-bit fingerprints: two different words meet with a
 chance of about n^2 / 2^65 for n distinct words.
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NOT_WHITE = ~WHITE
