@@ -20,6 +20,7 @@ give no records.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,7 @@ from seguelake.llm import words as W
 MASK = 0xA282EAD8
 CACHED_PIECES = 300_000
 CODED_AT_ONCE = 2_000
+ENCODED_BYTES = 1 << 18
 
 
 def masked(crc: int) -> int:
@@ -79,6 +81,7 @@ class PieceEncoder:
     MARKS = b".,!?;:*#$%&()[]{}/+=-\""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses all cores; threads would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -112,8 +115,13 @@ class PieceEncoder:
         size = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))])
-        order = np.argsort(merged := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.at, self.size = merged[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        slot = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.at, self.size = np.insert(self.keys, slot, keys), np.insert(self.at, slot, at), np.insert(self.size, slot, size)
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
 
     def block(self, block: W.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block and the number of ids of each text."""
@@ -135,7 +143,7 @@ class PieceEncoder:
         text = np.searchsorted(block.starts, start, "right") - 1
         keys = self.prints.spans(self.prints.prefix(data), start, end)
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        new = ~np.isin(unique, self.keys)
+        new = ~self._known(unique)
         if new.any():
             if len(self.keys) + int(new.sum()) > CACHED_PIECES:
                 self._clear()
@@ -164,7 +172,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
         width = 2 if max(coder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for block in W.blocks(batch.column(1)):
+            for block in W.blocks(batch.column(1), ENCODED_BYTES):
                 ids, sizes = coder.block(block)
                 cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
                 out = [frame(pack(names[block.first + i], np.append(ids[cut[i] : cut[i + 1]], np.uint32(end_id)), width)) for i in range(block.n)]
