@@ -24,6 +24,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ MASK = 0xA282EAD8
 CACHED_PIECES = 300_000
 CODED_AT_ONCE = 2_000
 ENCODED_BYTES = 1 << 18
+ROWS_AT_ONCE = 500
 
 
 def masked(crc: int) -> int:
@@ -157,6 +159,12 @@ class PieceEncoder:
         return ids, block.per_text(text, size).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> PieceEncoder:
+    """One encoder per Python worker: its tasks share the loaded tokenizer and the pieces seen."""
+    return PieceEncoder(path)
+
+
 def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> None:
     """Encode ``text``, append ``end_id`` and write records in ascending ``doc_id`` order, then the index.
 
@@ -168,15 +176,17 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceEncoder(tokenizer)
+        coder = encoder(tokenizer)
         width = 2 if max(coder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for block in W.blocks(batch.column(1), ENCODED_BYTES):
-                ids, sizes = coder.block(block)
-                cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
-                out = [frame(pack(names[block.first + i], np.append(ids[cut[i] : cut[i + 1]], np.uint32(end_id)), width)) for i in range(block.n)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                names = batch.column(0).to_pylist()
+                for block in W.blocks(batch.column(1), ENCODED_BYTES):
+                    ids, sizes = coder.block(block)
+                    cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+                    out = [frame(pack(names[block.first + i], np.append(ids[cut[i] : cut[i + 1]], np.uint32(end_id)), width)) for i in range(block.n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     # the text writer adds the record's last byte, the line feed
     rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{folder}/data")
