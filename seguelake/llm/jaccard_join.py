@@ -239,12 +239,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
 
 def _possible(p: str, q: str, percent: int):
-    """Length, positional and sketch filters for one shared n-gram of classes p and q; none loses a similar pair."""
+    """Length and positional filters for one shared n-gram of classes p and q; neither loses a similar pair."""
     need = F.ceil(F.expr(f"{percent} * ({p}.size + {q}.size) / {100 + percent}.0"))
     reach = F.expr(f"least({p}.pos, {q}.pos) + least({p}.size - {p}.pos, {q}.size - {q}.pos)")
     length = F.expr(f"100L * least({p}.size, {q}.size) >= {percent}L * greatest({p}.size, {q}.size)")
+    return length & (reach >= need)
+
+
+def _close(p: str, q: str, percent: int):
+    """The sketch filter for classes p and q; it loses no similar pair."""
     apart = F.expr(" + ".join(f"bit_count({p}.{c} ^ {q}.{c})" for c in SKETCH))
-    return length & (reach >= need) & (apart <= F.expr(f"{p}.size + {q}.size") - 2 * need)
+    return apart <= F.expr(f"{p}.size + {q}.size") - 2 * F.ceil(F.expr(f"{percent} * ({p}.size + {q}.size) / {100 + percent}.0"))
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (x, y) whose sketches let them be similar.  A pair meets under many n-grams, so sketches are looked up per pair, not carried by every posting."""
+    body = F.struct("size", *SKETCH)
+    one, two = sketches.select(F.col("cls").alias("x"), body.alias("p")), sketches.select(F.col("cls").alias("y"), body.alias("q"))
+    return pairs.join(one, "x").join(two, "y").filter(_close("p", "q", percent)).select("x", "y")
 
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -254,29 +266,31 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # exact counts first: most n-grams stand in one text only, and those rows need not travel whole
     often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
     posts = cut_lineage(posts.join(often, "key", "left_semi").groupBy("key", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos")))
-    sketches = described.groupBy("cls").agg(*[F.first(c).alias(c) for c in SKETCH])
+    sketches = cut_lineage(described.groupBy("cls").agg(F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in SKETCH]))
     # a class with most of its n-grams shared is the likely origin of its group's copies, so it makes a good centre
     spread = posts.groupBy("cls").agg(F.count(F.lit(1)).alias("spread"))
-    posts = cut_lineage(posts.join(sketches.join(spread, "cls"), "cls"))
-    side = F.struct("cls", "size", "pos", *SKETCH)
-    ends = posts.groupBy("key").agg(F.min(side).alias("lo"), F.max(F.struct("spread", "cls", "size", "pos", *SKETCH)).alias("hi"), F.max("cls").alias("last"))
-    met = ends.filter("lo.cls <> last").select(F.col("key").alias("k"), "lo", "hi")
-    shared = cut_lineage(posts.join(met, posts["key"] == met["k"]).drop("k", "spread"))
-
-    own = shared.withColumn("own", side)
-    stars = [own.filter((F.col("cls") != F.col(f"{e}.cls")) & _possible("own", e, percent)).select(F.col(f"{e}.cls").alias("x"), F.col("cls").alias("y")) for e in ("lo", "hi")]
-    pairs = stars[0].union(stars[1]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    spread_posts = posts.join(spread, "cls")
+    side = F.struct("cls", "size", "pos")
+    ends = spread_posts.groupBy("key").agg(F.min(side).alias("lo"), F.max(F.struct("spread", "cls", "size", "pos")).alias("hi"), F.max("cls").alias("last"))
+    centres = F.array("lo", F.struct("hi.cls", "hi.size", "hi.pos")).alias("centres")
+    met = ends.filter("lo.cls <> last").select("key", centres)
+
+    # neither the postings with their centres nor the stars are kept; only distinct pairs are
+    stars = posts.join(met, "key").select(side.alias("own"), F.explode("centres").alias("mid")).filter((F.col("own.cls") != F.col("mid.cls")) & _possible("own", "mid", percent))
+    pairs = stars.select(F.least("own.cls", "mid.cls").alias("x"), F.greatest("own.cls", "mid.cls").alias("y")).distinct()
+    pairs = _sketched(pairs, sketches, percent)
     links = cut_lineage(_verified(pairs, docs, n, percent))
     joined = components(links)
 
-    placed = shared.join(joined, shared["cls"] == joined["node"], "left").select("key", side.alias("own"), F.coalesce("label", "cls").alias("comp"))
+    placed = posts.join(joined, posts["cls"] == joined["node"], "left").select("key", "cls", "size", "pos", F.coalesce("label", "cls").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    left_over = cut_lineage(placed.join(mixed.select("key", "major"), "key"))
+    whole = F.struct("cls", "size", "pos", *SKETCH).alias("own")
+    left_over = cut_lineage(placed.join(mixed.select("key", "major"), "key").join(sketches.drop("size"), "cls").select("key", whole, "comp", "major"))
     p = left_over.filter("comp <> major").select("key", F.col("own").alias("p"), F.col("comp").alias("p_comp"))
     q = left_over.select(F.col("key").alias("q_key"), F.col("own").alias("q"), F.col("comp").alias("q_comp"), "major")
     meet = (F.col("key") == F.col("q_key")) & (F.col("p_comp") != F.col("q_comp")) & ((F.col("q_comp") == F.col("major")) | (F.col("p.cls") < F.col("q.cls")))
-    crossed = p.join(q, meet & _possible("p", "q", percent)).select(F.least("p.cls", "q.cls").alias("x"), F.greatest("p.cls", "q.cls").alias("y")).distinct()
+    crossed = p.join(q, meet & _possible("p", "q", percent) & _close("p", "q", percent)).select(F.least("p.cls", "q.cls").alias("x"), F.greatest("p.cls", "q.cls").alias("y")).distinct()
     more = cut_lineage(_verified(crossed, docs, n, percent))
     if not more.isEmpty():
         joined = components(links.union(more))
