@@ -26,6 +26,7 @@ def _(t):
     )
 
 
+REGIONS = (("india", ("mumbai",)), ("australia", ("melbourne",)))
 TITLED = """t AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' - Cust ' || o_custkey || ' @ Club ' || o_orderstatus WHEN 1 THEN strftime(o_orderdate, '%Y-%m') || ' - Cust ' || o_custkey || ' b2b Guest - Series ' || (o_orderkey % 40)
  WHEN 2 THEN strftime(o_orderdate, '%Y') || ' - Cust ' || o_custkey || ' & Guest @ Hall' WHEN 3 THEN '2001-13-45 - Cust ' || o_custkey || ' - X' WHEN 4 THEN 'Cust ' || o_custkey || ' live at Hall' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' - Someone Else @ Melbourne' END AS title,
  CASE WHEN o_orderkey % 5 <> 0 THEN 'cust' || o_custkey END AS tag FROM orders)"""
@@ -59,9 +60,9 @@ def _(t):
         "id",
         titles.date_precision(titles.date_prefix(c("title"))).alias("precision"),
         titles.actor_kind(who, c("tag")).alias("kind"),
-        titles.region(c("title")).alias("region"),
+        titles.labelled(c("title"), REGIONS, "unknown").alias("region"),
         titles.billing(c("title"), F.lit(1)).alias("billing"),
-        F.when((c("id") % 6).isin(0, 4, 5), titles.performer(c("title"))).otherwise("").alias("performer"),
+        F.when((c("id") % 6).isin(0, 4, 5), titles.performer(c("title"), ("live at",))).otherwise("").alias("performer"),
     )
 
 
@@ -79,23 +80,34 @@ def _(t):
     return d.select("id", titles.written_date(c("title")).alias("day"), titles.volume(c("title")).alias("volume"), titles.artist_title(c("raw"))["artist"].alias("artist"))
 
 
+# The given texts name no slots or formats, so frequent words of theirs stand for them.
+SLOTS_BY = (("opening", ("that", "que")), ("closing", ("with", "pour")), ("peak", ("are", "dans", "und")))
+FORMATS_BY = (("b2b", ("of the", "de la")), ("vinyl", ("in the", "de les")))
+KINDS_BY = (("radio", ("this",)), ("studio", ("and the", "la de")))
+
+
+def label_sql(rules, default):
+    cases = " ".join(f"WHEN {' OR '.join(f"contains(k, ' {w} ')" for w in phrases)} THEN '{label}'" for label, phrases in rules)
+    return f"CASE {cases} ELSE {default} END"
+
+
 @query(
     "set_text_attributes",
-    r"""WITH s AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'X live @ Park' WHEN 1 THEN 'Live Y at Park' WHEN 2 THEN 'Z (live) | Hall' WHEN 3 THEN 'A b2b B' WHEN 4 THEN 'All Vinyl Night 10pm - 4am' ELSE 'C sunrise 9:30-12:15 Radio FM' END AS title, text FROM documents)
- SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'live' WHEN 1 THEN '' WHEN 2 THEN 'live' WHEN 3 THEN 'b2b' WHEN 4 THEN 'vinyl' ELSE 'dj-set' END AS format, CASE doc_id % 6 WHEN 4 THEN 'night' WHEN 5 THEN 'sunrise' END AS slot,
- CASE doc_id % 6 WHEN 4 THEN '22:00-04:00' WHEN 5 THEN '09:30-12:15' ELSE '' END AS hours, CASE doc_id % 6 WHEN 5 THEN 'radio' ELSE 'podcast' END AS kind FROM s""",
+    f"""WITH s AS (SELECT doc_id, n_chars AS n, ' ' || {KEY} || ' ' AS k, string_split({KEY.replace("(text)", "(regexp_extract(text, '^[^@|]*'))")}, ' ') AS ws FROM documents)
+ SELECT doc_id, {label_sql(FORMATS_BY, "CASE WHEN list_position(ws, 'on') > 1 THEN 'live' WHEN contains(k, ' on ') THEN '' ELSE 'dj-set' END")} AS format, {label_sql(SLOTS_BY, "NULL")} AS slot, {label_sql(KINDS_BY, "'podcast'")} AS kind,
+ CASE doc_id % 3 WHEN 0 THEN lpad(CAST(n % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') || '-' || lpad(CAST(n // 24 % 24 AS VARCHAR), 2, '0') || ':05'
+ WHEN 1 THEN lpad(CAST((n % 12 + 1) % 12 AS VARCHAR), 2, '0') || ':00-' || lpad(CAST((n // 12 % 12 + 1) % 12 + 12 AS VARCHAR), 2, '0') || ':00' ELSE '' END AS hours FROM s""",
 )
 def _(t):
-    k = c("doc_id") % 6
-    title = (
-        F.when(k == 0, "X live @ Park").when(k == 1, "Live Y at Park").when(k == 2, "Z (live) | Hall").when(k == 3, "A b2b B")
-        .when(k == 4, "All Vinyl Night 10pm - 4am").otherwise("C sunrise 9:30-12:15 Radio FM")
-    )
-    d = t.documents.select("doc_id", title.alias("title"))
-    none = F.lit("")
+    k, n = c("doc_id") % 3, c("n_chars")
+    clocks = F.when(k == 0, F.format_string("%d:%02d-%d.05", n % 24, n % 60, F.floor(n / 24) % 24)).when(k == 1, F.format_string("%dam to %d pm", n % 12 + 1, F.floor(n / 12) % 12 + 1)).otherwise("12-14")
+    d = t.documents.select("doc_id", "text", F.concat_ws(" @ ", "text", clocks).alias("title"), clocks.alias("clocks"))
     return d.select(
-        "doc_id", titles.set_format(c("title"), none).alias("format"), titles.first_rule(c("title"), titles.SLOT_RULES).alias("slot"),
-        titles.time_range(c("title")).alias("hours"), titles.series_kind(c("title")).alias("kind"),
+        "doc_id",
+        titles.set_format(c("title"), F.lit(""), FORMATS_BY, live="on").alias("format"),
+        titles.labelled(c("text"), SLOTS_BY).alias("slot"),
+        titles.labelled(c("text"), KINDS_BY, "podcast").alias("kind"),
+        titles.time_range(c("clocks")).alias("hours"),
     )
 
 

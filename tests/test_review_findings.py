@@ -26,3 +26,22 @@ def test_all_windows_are_ranked(spark):
 def test_replay_of_a_folder(spark, tmp_path):
     spark.range(30).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     assert drain(replay(spark, str(tmp_path), "events"), "append").count() == 30
+
+
+def test_titles(spark):
+    from seguelake.functions import titles
+
+    rows = [
+        (1, "2019-05-04 - Ann & Bob @ Hall", "open 9:30-12.15"), (2, "Live Ann at Hall", "10pm - 4 am"), (3, "Ann live @ Hall", "12am to 12pm, 1:00-2:00"),
+        (4, "Ann @ Live Hall", "3-4"), (5, "", ""), (6, None, None), (7, "Anna and vs", "9:30 9:45 bis 10:15"),
+    ]
+    t, w = F.col("t"), F.col("w")
+    d = spark.createDataFrame(rows, "id int, t string, w string").select(
+        "id", titles.set_format(t, F.lit(None).cast("string"), [("vinyl", ("all vinyl",))]).alias("f"), titles.time_range(w).alias("h"), titles.actor_kind(titles.actor(t), F.lit("Ann")).alias("k"),
+        titles.labelled(t, [("hall", ("hall", "the hall"))], "none").alias("l"),
+    )
+    got = {r.id: (r.f, r.h, r.k, r.l) for r in d.collect()}
+    assert got == {
+        1: ("dj-set", "09:30-12:15", "multi_actor", "hall"), 2: ("", "22:00-04:00", "missing_actor", "hall"), 3: ("live", "00:00-12:00", "missing_actor", "hall"),
+        4: ("", "", "missing_actor", "hall"), 5: ("dj-set", "", "missing_actor", "none"), 6: ("dj-set", "", "missing_actor", "none"), 7: ("dj-set", "09:45-10:15", "missing_actor", "none"),
+    }
