@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seguelake import grouping
@@ -103,6 +103,10 @@ class Tables:
             F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("grp")
         )
 
+    def vector_of(self, track: str) -> Column:
+        """Id of the vector that stands for a track; there are fewer vectors than tracks, with ids from 0."""
+        return F.col(track) % self.raw("embeddings").agg(F.count(F.lit(1))).scalar()
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.raw("documents")

@@ -253,6 +253,14 @@ def grouped_split(df: DataFrame, group: str, ratios=(0.7, 0.15, 0.15), seed: int
     return df.join(placed.select(group, split.alias("split")), group)
 
 
+def earlier_means(rows: DataFrame, group: str, position: str, bins, value: str) -> DataFrame:
+    """(group, position, mean): mean of the arrays of ``value`` over the rows up to and including each position."""
+    flat = rows.select(group, position, F.posexplode(value).alias("dim", "x"))
+    summed = grouping.running(flat, [group, "dim"], [position], bins, {"__sum": c("x"), "__n": F.lit(1)})
+    ordered = F.array_sort(F.collect_list(F.struct("dim", (c("__sum") / c("__n")).alias("m"))))
+    return summed.groupBy(group, position).agg(ordered.alias("o")).select(group, position, F.transform("o", lambda o: o["m"]).alias("mean"))
+
+
 def choice_features(pools: DataFrame, items: DataFrame, context: DataFrame) -> DataFrame:
     """pools(case, item, is_true), items(item, h, vec), context(case, cur_h, cur_vec, hist_h, hist_vec).
 

@@ -48,7 +48,7 @@ def _(t):
 
 @query("style_space")
 def _(t):
-    d = t.plays.join(t.tracks.select("track", "release"), "track").withColumn("id", c("track") % 500).join(t.vectors.select("id", "vec"), "id")
+    d = t.plays.join(t.tracks.select("track", "release"), "track").withColumn("id", t.vector_of("track")).join(t.vectors.select("id", "vec"), "id")
     return op.style_space(d.select(c("id").alias("item"), c("release").alias("style"), "vec"), t.vectors, 5).withColumn("closeness", rounded(c("closeness")))
 
 
@@ -73,13 +73,13 @@ def _(t):
     return r6(op.crate_overlap(t.vectors, "grp"), ("radius", "q"), ("grp", "n"))
 
 
-DECOYS = f"""{SLOTS}, {PAIRS}, ca AS (SELECT mix * 100 + position AS "case", mix, position, a AS cur, b AS true_item FROM pairs WHERE mix % 4 = 0), un AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) AS pos, count(*) OVER () AS size FROM part),
+DECOYS = f"""{SLOTS}, {PAIRS}, ca AS (SELECT mix * 100 + position AS "case", mix, position, a AS cur, b AS true_item FROM pairs), un AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) AS pos, count(*) OVER () AS size FROM part),
  dr AS (SELECT "case", true_item, j, ({HEX.format("'5|' || \"case\"", 1)} + j * (size // 10) + {HEX.format("'5|' || \"case\" || '|' || j", 1)} % (size // 10)) % size + 1 AS pos FROM ca, (SELECT any_value(size) AS size FROM un) z, range(0, 10) r(j)),
  dc AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY j) AS rn FROM dr JOIN un USING (pos) WHERE item <> true_item), pools AS (SELECT "case", item, false AS is_true FROM dc WHERE rn < 10 UNION ALL SELECT "case", true_item, true FROM ca)"""
 
 
 def choice_cases(t):
-    d = slot_pairs(t).filter(c("mix") % 4 == 0)
+    d = slot_pairs(t)
     return d.select((c("mix") * 100 + c("position")).alias("case"), "mix", "position", c("a").alias("cur"), c("b").alias("true_item"))
 
 
@@ -102,19 +102,19 @@ def _(t):
 
 
 def items_of(t):
-    tracks = t.tracks.select(c("track").alias("item"), "bpm", F.array(c("bpm") / 100, "energy", "bass").alias("h"), (c("track") % 500).alias("id"))
+    tracks = t.tracks.select(c("track").alias("item"), "bpm", F.array(c("bpm") / 100, "energy", "bass").alias("h"), (t.vector_of("track")).alias("id"))
     return tracks.join(t.vectors.select("id", "vec"), "id").drop("id")
 
 
 def context_of(t):
-    """Current item and the mean over the mix as history of each case."""
-    from seguelake.operators.vectors import mean_vectors
-
+    """Current item of each case, and the means over the items up to it as history; the pick and later items stay out."""
     items = items_of(t)
-    hist = mean_vectors(t.plays.select("mix", c("track").alias("item")).join(items, "item"), ["mix"], "vec").select("mix", c("mean").alias("hist_vec"))
-    hand = mean_vectors(t.plays.select("mix", c("track").alias("item")).join(items, "item"), ["mix"], "h").select("mix", c("mean").alias("hist_h"))
+    played = t.slots().join(items.withColumnRenamed("item", "track"), "track").withColumn("both", F.concat("vec", "h"))
+    past = op.earlier_means(played, "mix", "position", t.slot_bins, "both")
+    dims = F.size("mean") - 3
+    hist = past.select("mix", "position", F.slice("mean", F.lit(1), dims).alias("hist_vec"), F.slice("mean", dims + 1, F.lit(3)).alias("hist_h"))
     cur = items.select(c("item").alias("cur"), c("h").alias("cur_h"), c("vec").alias("cur_vec"))
-    return choice_cases(t).join(hist, "mix").join(hand, "mix").join(cur, "cur")
+    return choice_cases(t).join(hist, ["mix", "position"]).join(cur, "cur")
 
 
 def choice_rows(t):
@@ -125,9 +125,9 @@ def choice_rows(t):
 
 @query(
     "choice_features",
-    f"""WITH {DECOYS}, it AS (SELECT p_partkey AS item, (p_size + 90)/100.0::DOUBLE AS b, embedding::DOUBLE[] AS v FROM part JOIN embeddings ON vec_id = p_partkey % 500), hb AS (SELECT mix, avg(b) AS hb FROM slots JOIN it ON item = track GROUP BY 1)
+    f"""WITH {DECOYS}, it AS (SELECT p_partkey AS item, (p_size + 90)/100.0::DOUBLE AS b, embedding::DOUBLE[] AS v FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)), hb AS (SELECT mix, position, avg(b) OVER (PARTITION BY mix ORDER BY position) AS hb FROM slots JOIN it ON item = track)
  SELECT p."case", p.item, is_true, round(i.b, 6) AS bpm, round(i.b - u.b, 6) + 0.0 AS step, round(abs(i.b - hb), 6) + 0.0 AS history_gap, round(list_cosine_similarity(i.v, u.v), 6) + 0.0 AS cosine
- FROM pools p JOIN ca ON ca."case" = p."case" JOIN it i ON i.item = p.item JOIN it u ON u.item = ca.cur JOIN hb ON hb.mix = ca.mix""",
+ FROM pools p JOIN ca ON ca."case" = p."case" JOIN it i ON i.item = p.item JOIN it u ON u.item = ca.cur JOIN hb ON hb.mix = ca.mix AND hb.position = ca.position""",
 )
 def _(t):
     d = choice_rows(t)
@@ -188,7 +188,7 @@ def _(t):
 
 @query(
     "ranking_training_table",
-    f"""WITH {DECOYS}, it AS (SELECT p_partkey AS item, (p_size + 90)::DOUBLE AS bpm, embedding::DOUBLE[] AS v FROM part JOIN embeddings ON vec_id = p_partkey % 500)
+    f"""WITH {DECOYS}, it AS (SELECT p_partkey AS item, (p_size + 90)::DOUBLE AS bpm, embedding::DOUBLE[] AS v FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))
  SELECT mix, p."case", position, p.item, is_true::INT AS label, round(list_cosine_similarity(u.v, i.v), 6) + 0.0 AS cos_current, round(i.bpm/u.bpm, 6) AS tempo_ratio,
  round(CASE WHEN i.bpm/u.bpm > 1.5 THEN abs(i.bpm/u.bpm/2 - 1) WHEN i.bpm/u.bpm < 0.67 THEN abs(i.bpm/u.bpm*2 - 1) ELSE abs(i.bpm/u.bpm - 1) END, 6) + 0.0 AS tempo_gap, 1 AS tempo_known FROM pools p JOIN ca ON ca."case" = p."case" JOIN it i ON i.item = p.item JOIN it u ON u.item = ca.cur""",
 )
