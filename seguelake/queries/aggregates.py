@@ -211,7 +211,7 @@ GAP = """(CASE WHEN nb/bpm > 1.5 THEN abs(nb/bpm/2 - 1) WHEN nb/bpm < 0.67 THEN
 @query(
     "mix_signature",
     f"""WITH {SLOTS}, {TRACKS}, {MIXES}, vecs AS (SELECT vec_id AS vid, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
- d AS (SELECT dj, mix * 100 + position AS o, bpm, v FROM slots JOIN mixes USING (mix) JOIN tracks USING (track) JOIN vecs ON vid = track % 500 WHERE dj % 3 = 0),
+ d AS (SELECT dj, mix * 100 + position AS o, bpm, v FROM slots JOIN mixes USING (mix) JOIN tracks USING (track) JOIN vecs ON vid = track % (SELECT count(*) FROM embeddings)),
  n AS (SELECT *, lead(bpm) OVER w AS nb, lead(v) OVER w AS nv FROM d WINDOW w AS (PARTITION BY dj ORDER BY o)), f AS (SELECT *, {GAP} * nb AS jump, list_dot_product(v, nv) AS cs FROM n),
  q AS (SELECT dj, sum(s*s) AS sq FROM (SELECT dj, i, sum(v[i]) AS s FROM d, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY dj)
  SELECT dj, round(median(bpm), 6) AS bpm_median, round(median(jump), 6) + 0.0 AS jump_median, round(avg((jump < 1)::INT::DOUBLE), 6) + 0.0 AS locked, round(median(cs), 6) + 0.0 AS cos_median,
@@ -219,8 +219,8 @@ GAP = """(CASE WHEN nb/bpm > 1.5 THEN abs(nb/bpm/2 - 1) WHEN nb/bpm < 0.67 THEN
  round((arg_max(bpm, o) - arg_min(bpm, o)) / (count(*) - 1), 6) + 0.0 AS drift, count(*) AS n FROM f JOIN q USING (dj) GROUP BY dj HAVING count(*) >= 6 AND count(jump) >= 4""",
 )
 def _(t):
-    d = t.slots().join(t.mixes.filter(c("dj") % 3 == 0).select("mix", "dj"), "mix").join(t.tracks.select("track", "bpm"), "track")
-    d = d.withColumn("o", c("mix") * 100 + c("position")).withColumn("id", c("track") % 500).join(t.vectors.select("id", "vec"), "id")
+    d = t.slots().join(t.mixes.select("mix", "dj"), "mix").join(t.tracks.select("track", "bpm"), "track")
+    d = d.withColumn("o", c("mix") * 100 + c("position")).withColumn("id", t.vector_of("track")).join(t.vectors.select("id", "vec"), "id")
     out = op.mix_signature(d.select("dj", "o", "bpm", "vec"), "dj", "o", [F.floor(c("o") / 100000)])
     keep = ("bpm_median", "jump_median", "locked", "cos_median", "cos_iqr", "palette", "drift")
     return out.select("dj", "n", *[rounded(c(x)).alias(x) for x in keep])
