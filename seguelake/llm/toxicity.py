@@ -2,16 +2,16 @@
 
 Terms are words (runs of letters, ASCII lower-cased) and the first five bytes of
 longer words.  A bounded, hash-ordered sample of labelled documents per class is
-the example store; terms that differ between the classes by a chi-squared test and by a
-factor in share form the vocabulary.  Document frequencies of that vocabulary are counted over all
-documents.  For every document the exact ``k`` nearest examples by TF-IDF cosine
-are found in an inverted index of blocks: a term keeps the largest weight per block
-of examples, blocks are visited by falling upper bound, and the search stops when
-no block can beat the k-th best.  Votes weighted by similarity and class share give
-a raw score; isotonic regression on the learned-from labels (each without its own
-vote) calibrates it.
-
-Nulls and odd cases: null and empty texts and texts without vocabulary terms get
+the example store, and all terms of its documents form the vocabulary.  Document
+frequencies of that vocabulary are counted over all documents.  For every document
+the exact ``k`` nearest examples by TF-IDF cosine are found: the commonest terms are
+scored as dense columns and all others through posting lists, and what may be among
+the best is scored again in double precision.  Terms that no example holds add nothing
+to a product and are left out of the document's length, which scales all its cosines
+alike.  Votes weighted by similarity and class share give a raw score; isotonic
+regression on the learned-from labels (each without its own vote) calibrates it.
+
+Nulls and odd cases: null and empty texts and texts without a term of the examples get
 the prior share of toxic labels, calibrated; labels other than 0 and 1 and labels
 of unknown ids teach nothing; without labels every score is 0; repeated rows get
 equal scores; ties between equal similarities go to the smaller example number;
@@ -29,11 +29,15 @@ from pyspark.sql import functions as F
 
 from seguelake.grouping import first_rows
 from seguelake.llm import words as W
+from seguelake.llm.pitman_yor import squeeze, unsqueeze
 from seguelake.llm.quality_model import isotonic
 from seguelake.session import cut_lineage
 
 STEM_BYTES = 5
-BLOCK = 64
+DENSE = 1024  # terms scored as dense columns
+TOGETHER = 16  # documents scored at once
+ROUGH = 1e-4  # more than single precision can lose in a sum of DENSE products of unit vectors
+ADDERS = 8
 
 
 def block_terms(block: W.Block, prints: W.Fingerprints) -> tuple[np.ndarray, np.ndarray]:
@@ -47,56 +51,87 @@ def block_terms(block: W.Block, prints: W.Fingerprints) -> tuple[np.ndarray, np.
 
 
 class ExampleIndex:
-    """Examples as unit vectors in an inverted index with block maxima.  Its size is bounded by the sample and the vocabulary."""
+    """Examples as unit vectors over all their terms.  Its size is bounded by the sample.
+
+    Terms that stand in the most examples are scored as dense columns in single precision, the
+    others through posting lists; whatever may then be among the k best is scored again in double precision.
+    """
 
     def __init__(self, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, prior: float, terms: int):
-        # examples that share their heaviest term lie together, which keeps block maxima sharp
-        lead = [int(t[np.argmax(w)]) if len(t) else terms for t, w in vectors]
-        order = sorted(range(len(ids)), key=lambda i: (lead[i], labels[i], i))
-        self.ids = [ids[i] for i in order]
-        self.labels, self.weights, self.prior = labels[order].astype(float), weights[order], prior
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        value = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        by_term = np.lexsort((example, term))
-        self.example, self.value = example[by_term], value[by_term]
-        cell = term[by_term] * (len(order) // BLOCK + 1) + self.example // BLOCK
-        head = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-        self.cell_at = np.append(head, len(cell))
-        self.cell_block = self.example[head] // BLOCK
-        self.cell_max = np.maximum.reduceat(self.value, head) if len(head) else np.zeros(0)
-        self.term_cells = np.searchsorted(term[by_term][head], np.arange(terms + 1))
-        self.blocks = len(order) // BLOCK + 1
-        self.block_of = self.example // BLOCK
+        self.ids, self.labels, self.weights, self.prior, self.terms = ids, labels.astype(float), weights, prior, terms
+        self.row_at = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
+        self.row_term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
+        self.row_value = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        self.columns: tuple | None = None
+
+    def _columns(self) -> tuple:
+        """Dense columns of the common terms and posting lists of all terms; built where they are used."""
+        if self.columns is None:
+            example = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.row_at))
+            spread = np.bincount(self.row_term, minlength=self.terms)
+            common = np.argsort(-spread, kind="stable")[:DENSE]
+            column = np.full(self.terms, -1, np.int32)
+            column[common] = np.arange(len(common))
+            dense = np.zeros((len(common), len(self.ids)), np.float32)
+            in_dense = column[self.row_term] >= 0
+            dense[column[self.row_term[in_dense]], example[in_dense]] = self.row_value[in_dense]
+            by_term = np.argsort(self.row_term, kind="stable")
+            post_at = np.concatenate([[0], np.cumsum(spread)])
+            self.columns = column, dense, post_at, example[by_term], self.row_value[by_term]
+        return self.columns
+
+    def rough(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines of queries with all examples, to within ``ROUGH``."""
+        column, dense, post_at, example, value = self._columns()
+        n = len(self.ids)
+        term = np.concatenate([t for t, _ in queries])
+        weight = np.concatenate([w for _, w in queries])
+        query = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        at = column[term]
+        common = at >= 0
+        wide = np.zeros((len(queries), len(dense)), np.float32)
+        wide[query[common], at[common]] = weight[common]
+        term, weight, query = term[~common], weight[~common], query[~common]
+        size = post_at[term + 1] - post_at[term]
+        ends = np.cumsum(size)
+        post = np.arange(ends[-1] if len(ends) else 0) + np.repeat(post_at[term] - ends + size, size)
+        rare = np.bincount(np.repeat(query * n, size) + example[post], np.repeat(weight, size) * value[post], minlength=len(queries) * n)
+        return wide @ dense + rare.reshape(len(queries), n)
+
+    def exact(self, examples: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        size = self.row_at[examples + 1] - self.row_at[examples]
+        ends = np.cumsum(size)
+        cell = np.arange(ends[-1]) + np.repeat(self.row_at[examples] - ends + size, size)
+        at = np.minimum(np.searchsorted(terms, self.row_term[cell]), len(terms) - 1)
+        hit = terms[at] == self.row_term[cell]
+        return np.bincount(np.repeat(np.arange(len(examples)), size)[hit], weights[at[hit]] * self.row_value[cell[hit]], minlength=len(examples))
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query (terms in order, weights), the numbers and cosines of the k most similar examples with a positive cosine."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        n = len(self.ids)
+        for first in range(0, len(queries), TOGETHER):
+            own = queries[first : first + TOGETHER]
+            if not n:
+                out += [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
+                continue
+            for (terms, weights), scores in zip(own, self.rough(own)):
+                least = np.partition(scores, n - k)[n - k] - 2 * ROUGH if n > k else 0.0
+                found = np.flatnonzero((scores >= least) & (scores > 0))
+                cosines = self.exact(found, terms, weights) if len(found) else np.zeros(0)
+                top = np.lexsort((found, -cosines))[:k]
+                out.append((found[top], cosines[top]))
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: object = None) -> tuple[np.ndarray, np.ndarray]:
-        """(example numbers, cosines) of the k most similar examples with a positive cosine."""
-        bound = np.zeros(self.blocks)
-        for t, w in zip(terms, weights):
-            cells = slice(self.term_cells[t], self.term_cells[t + 1])
-            bound[self.cell_block[cells]] += w * self.cell_max[cells]
-        order = np.argsort(-bound, kind="stable")
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        at, width = 0, 2
-        while at < self.blocks and bound[order[at]] > 0 and (len(best_s) < k or bound[order[at]] >= best_s[-1]):
-            # the next blocks by upper bound, twice as many each time, less those that cannot reach the k-th best
-            alive = np.zeros(self.blocks, bool)
-            alive[order[at : at + width]] = True
-            if len(best_s) == k:
-                alive &= bound >= best_s[-1]
-            at, width = at + width, width * 4
-            scores = np.zeros(len(self.ids))
-            for t, w in zip(terms, weights):
-                part = slice(self.cell_at[self.term_cells[t]], self.cell_at[self.term_cells[t + 1]])
-                live = alive[self.block_of[part]]
-                scores[self.example[part][live]] += w * self.value[part][live]
-            found = np.flatnonzero(scores)
-            if skip is not None:
-                found = np.array([e for e in found if self.ids[e] != skip], np.int64)
-            all_e, all_s = np.append(best_e, found), np.append(best_s, scores[found])
-            top = np.lexsort((all_e, -all_s))[:k]
-            best_e, best_s = all_e[top], all_s[top]
-        return best_e, best_s
+        """The k nearest examples of one query, without the example of the id ``skip``."""
+        found, cosines = self.nearest_of([(terms, weights)], k + 1)[0]
+        return self.without(found, cosines, k, skip)
+
+    def without(self, found: np.ndarray, cosines: np.ndarray, k: int, skip: object) -> tuple[np.ndarray, np.ndarray]:
+        """The first k of k + 1 neighbours that are not the example of the id ``skip``."""
+        keep = np.array([skip is None or self.ids[e] != skip for e in found.tolist()], bool)
+        return found[keep][:k], cosines[keep][:k]
 
     def vote(self, examples: np.ndarray, cosines: np.ndarray, inertia: float) -> float:
         power = self.weights[examples] * cosines**2
@@ -109,8 +144,8 @@ def _unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / size if size > 0 else w
 
 
-def _vocabulary(docs: DataFrame, sample: DataFrame, sizes: dict[int, int], chi2: float, lift: float, min_docs: int, max_terms: int) -> np.ndarray:
-    """The terms of the sampled documents that tell the classes apart best, sorted."""
+def _vocabulary(docs: DataFrame, sample: DataFrame, sizes: dict[int, int], chi2: float, min_docs: int) -> np.ndarray:
+    """The terms of the sampled documents, sorted; without ``chi2`` and ``min_docs``, all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = W.Fingerprints()
@@ -125,47 +160,58 @@ def _vocabulary(docs: DataFrame, sample: DataFrame, sizes: dict[int, int], chi2:
                 yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(toxic), pa.array(np.bincount(which, minlength=len(term)))], names=["term", "a", "n"])
 
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    if not n1 or not n0:
-        return np.zeros(0, np.uint64)
     counted = docs.join(F.broadcast(sample), docs["doc_id"] == sample["id"]).select("label", "text").mapInArrow(run, "term long, a long, n long")
     sums = counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
-    stat = F.expr(f"{n1 + n0} * pow(a * ({n0} - (n - a)) - (n - a) * ({n1} - a), 2) / (n * ({n1 + n0} - n) * {n1} * {n0})")
-    # with many examples slight differences become significant too; they would fill the vocabulary with common words
-    sums = sums.filter(f"(a + 0.5) / {n1} >= {lift} * (n - a + 0.5) / {n0} OR (n - a + 0.5) / {n0} >= {lift} * (a + 0.5) / {n1}")
-    best = sums.filter(f"n < {n1 + n0}").withColumn("stat", stat).filter(F.col("stat") >= chi2).orderBy(F.desc("stat"), "term").limit(max_terms).collect()
-    return np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
+    if chi2 and n1 and n0:
+        stat = F.expr(f"{n1 + n0} * pow(a * ({n0} - (n - a)) - (n - a) * ({n1} - a), 2) / (n * ({n1 + n0} - n) * {n1} * {n0})")
+        sums = sums.filter(f"n < {n1 + n0}").filter(stat >= chi2)
+    terms = sums.select("term").toArrow().column(0)  # bounded by the sample
+    return np.sort(terms.to_numpy().view(np.uint64))
 
 
-def _sparse(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(doc_id, terms, counts) over the vocabulary for every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    m = max(1, len(vocabulary))
+def _term_counts(column: pa.Array, vocabulary: np.ndarray) -> Iterator[tuple[W.Block, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, cut, terms, counts): text i of the block has the vocabulary terms cut[i] to cut[i + 1], in order."""
+    prints, m = W.Fingerprints(), max(1, len(vocabulary))
+    for block in W.blocks(column):
+        terms, text = block_terms(block, prints)
+        term, which = np.unique(terms, return_inverse=True)
+        at = np.minimum(np.searchsorted(vocabulary, term), m - 1)
+        known = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
+        hit = known[which]
+        key, count = np.unique(text[hit] * m + at[which[hit]], return_counts=True)
+        yield block, np.searchsorted(key, np.arange(block.n + 1) * m), (key % m).astype(np.int32), count.astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = W.Fingerprints()
+
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many documents hold each term, and how many documents there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        total = np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
-            for block in W.blocks(batch.column(1)):
-                terms, text = block_terms(block, prints)
-                at = np.minimum(np.searchsorted(vocabulary, terms), m - 1)
-                hit = np.flatnonzero(vocabulary[at] == terms) if len(vocabulary) else np.zeros(0, np.int64)
-                key, count = np.unique(text[hit] * m + at[hit], return_counts=True)
-                cut = pa.array(np.searchsorted(key, np.arange(block.n + 1) * m).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(block.first, block.n),
-                        pa.ListArray.from_arrays(cut, pa.array((key % m).astype(np.int32))),
-                        pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int32))),
-                    ],
-                    names=["doc_id", "terms", "counts"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
-
-
-def score(docs: DataFrame, labels: DataFrame, teach: Callable[[str], Column], label: str = "toxic", max_examples: int = 6000, max_terms: int = 4096, chi2: float = 20.0, lift: float = 3.0, min_docs: int = 3, k: int = 15, inertia: float = 0.05) -> DataFrame:
+            total[-1] += batch.num_rows
+            for _, _, terms, _ in _term_counts(batch.column(0), vocabulary):
+                np.add.at(total, terms, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([squeeze(total)], pa.binary())], names=["n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value) + 1, np.int64)
+        for batch in batches:
+            for blob in batch.column(0):
+                total += unsqueeze(blob.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([squeeze(total)], pa.binary())], names=["n"])
+
+    parts = docs.select("text").mapInArrow(count, "n binary").repartition(ADDERS).mapInArrow(add, "n binary").collect()
+    total = np.sum([unsqueeze(bytes(r.n), np.int64) for r in parts], axis=0) if parts else np.zeros(len(vocabulary) + 1, np.int64)
+    return total[:-1], int(total[-1])
+
+
+def score(docs: DataFrame, labels: DataFrame, teach: Callable[[str], Column], label: str = "toxic", max_examples: int = 6000, chi2: float = 0.0, min_docs: int = 1, k: int = 15, inertia: float = 0.05) -> DataFrame:
     """(doc_id, score, predicted, evidence) of every document; evidence holds the ids of the three nearest examples.
 
-    ``max_examples`` bounds the example store per class and ``max_terms`` the vocabulary.
+    ``max_examples`` bounds the example store per class.  All terms of the stored examples are used unless
+    ``chi2`` asks for a least difference between the classes or ``min_docs`` for a least number of examples.
     """
     known = labels.filter(teach("doc_id")).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
     known = cut_lineage(known.dropDuplicates(["id"]))
@@ -173,39 +219,53 @@ def score(docs: DataFrame, labels: DataFrame, teach: Callable[[str], Column], la
     sample = cut_lineage(first_rows(known, ["label"], [F.xxhash64("id"), "id"], max_examples))
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    vocabulary = _vocabulary(docs, sample, sizes, chi2, lift, min_docs, max_terms)
-    sparse = cut_lineage(_sparse(docs, vocabulary))
-    frequency = {r.t: r.n for r in sparse.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_docs = sparse.count()
-    idf = np.array([np.log(1 + n_docs / frequency[t]) if t in frequency else 0.0 for t in range(len(vocabulary))])
-    rows = sparse.join(F.broadcast(sample), sparse["doc_id"] == sample["id"]).dropDuplicates(["id"]).select("id", "label", "terms", "counts").orderBy("id").collect()
-    vectors = [(np.array(r.terms, np.int64), _unit(np.array(r.terms, np.int64), np.array(r.counts, float), idf)) for r in rows]
+    vocabulary = _vocabulary(docs, sample, sizes, chi2, min_docs)
+    frequency, n_docs = _frequencies(docs, vocabulary)
+    idf = np.log(1 + n_docs / np.maximum(frequency, 1))
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, cut, terms, counts in _term_counts(batch.column(2), held.value):
+                own = [slice(a, b) for a, b in zip(cut[:-1], cut[1:])]
+                blobs = [pa.array([x[o].tobytes() for o in own], pa.binary()) for x in (terms, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), batch.column(1).slice(block.first, block.n), *blobs], names=["id", "label", "terms", "counts"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    given = docs.join(F.broadcast(sample), docs["doc_id"] == sample["id"]).select("id", "label", "text").mapInArrow(examples, f"id {kind}, label int, terms binary, counts binary")
+    rows = given.dropDuplicates(["id"]).orderBy("id").toArrow()  # bounded by the sample
+    vectors = []
+    for t, n in zip(rows["terms"], rows["counts"]):
+        t = np.frombuffer(t.as_py(), np.int32)
+        vectors.append((t, _unit(t, np.frombuffer(n.as_py(), np.int32), idf)))
     share = {c: totals[c] / sizes[c] for c in sizes}
     middle = sum(totals.values()) / max(1, sum(sizes.values()))
-    given = np.array([r.label for r in rows], np.int64)
-    index = ExampleIndex([r.id for r in rows], given, vectors, np.array([share[c] / middle for c in given.tolist()]), prior, len(vocabulary))
+    marks = np.array(rows["label"].to_pylist(), np.int64)
+    index = ExampleIndex(rows["id"].to_pylist(), marks, vectors, np.array([share[c] / middle for c in marks.tolist()]), prior, len(vocabulary))
     shared = docs.sparkSession.sparkContext.broadcast((index, idf))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, idf = shared.value
         own = set(index.ids)
-        seen: dict[tuple, tuple[float, list]] = {}
+        seen: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             votes, evidence = [], []
-            for doc_id, terms, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                key = (doc_id if doc_id in own else None, tuple(terms), tuple(counts))
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    t = np.array(terms, np.int64)
-                    found, cosines = index.nearest(t, _unit(t, np.array(counts, float), idf), k, key[0]) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
-                    seen[key] = index.vote(found, cosines, inertia), [index.ids[e] for e in found[:3]]
-                votes.append(seen[key][0])
-                evidence.append(seen[key][1])
+            for block, cut, terms, counts in _term_counts(batch.column(1), held.value):
+                parts = [slice(a, b) for a, b in zip(cut[:-1], cut[1:])]
+                keys = [terms[p].tobytes() + counts[p].tobytes() for p in parts]
+                if len(seen) > 5_000:
+                    seen.clear()
+                fresh = {key: p for key, p in zip(keys, parts) if key and key not in seen}
+                seen |= zip(fresh, index.nearest_of([(terms[p], _unit(terms[p], counts[p], idf)) for p in fresh.values()], k + 1))
+                for doc_id, key in zip(ids[block.first : block.first + block.n], keys):
+                    found, cosines = seen[key] if key else (np.zeros(0, np.int64), np.zeros(0))
+                    found, cosines = index.without(found, cosines, k, doc_id if doc_id in own else None)
+                    votes.append(index.vote(found, cosines, inertia))
+                    evidence.append([index.ids[e] for e in found[:3]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64()), pa.array(evidence, pa.list_(batch.schema.field(0).type))], names=["doc_id", "vote", "evidence"])
 
-    voted = cut_lineage(sparse.mapInArrow(run, f"doc_id {kind}, vote double, evidence array<{kind}>"))
+    voted = cut_lineage(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, vote double, evidence array<{kind}>"))
     bins = voted.join(known, voted["doc_id"] == known["id"]).groupBy(F.round("vote", 3).alias("v")).agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("v").collect()  # at most 1,001
     if bins:
         knots, values = isotonic(np.array([r.v for r in bins]), np.array([r.y for r in bins], float), np.array([r.n for r in bins], float))
