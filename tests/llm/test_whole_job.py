@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seguelake.llm import toxicity
+from seguelake.llm import decontaminate, toxicity
 
 
 def terms_of(text):
@@ -56,3 +56,18 @@ def test_rare_and_common_terms_give_exact_cosines():
         dense = whole @ whole[i]
         dense[i] = -1
         assert np.allclose(cosines, np.sort(dense)[::-1][:15]) and cosines == pytest.approx(dense[found])
+
+
+ITEM = "a train leaves Rome at 9 and covers 40 km before it meets another train from Oslo in Rome"
+TABLE = "Rome 12 Oslo 40 Lima 7 Bonn 33 Paris 5 Kyoto 81 Quito 64 Accra 90"
+
+
+def found(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+
+def test_exact_copies_in_any_case_and_without_plain_words(spark):
+    got = found(spark, [ITEM, TABLE], [f"so {ITEM.upper()} ok", f"SO {ITEM.lower()} OK", f"x {TABLE} y", f"x {TABLE.lower()} y", "Rome 12 Oslo 41 Lima 7 Bonn 33 Paris 6 Kyoto 81 Quito 64 Accra 91"])
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 1)}
+    assert {(r.covered_words, r.item_words, r.n_changed) for r in got.values()} == {(19, 19, 0), (16, 16, 0)}
