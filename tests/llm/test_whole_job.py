@@ -71,3 +71,12 @@ def test_exact_copies_in_any_case_and_without_plain_words(spark):
     got = found(spark, [ITEM, TABLE], [f"so {ITEM.upper()} ok", f"SO {ITEM.lower()} OK", f"x {TABLE} y", f"x {TABLE.lower()} y", "Rome 12 Oslo 41 Lima 7 Bonn 33 Paris 6 Kyoto 81 Quito 64 Accra 91"])
     assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 1)}
     assert {(r.covered_words, r.item_words, r.n_changed) for r in got.values()} == {(19, 19, 0), (16, 16, 0)}
+
+
+def test_a_contradicted_value_removes_only_its_windows(spark):
+    item = "the clerk Anna sold nine red pens to the school and later the clerk counted every pen again before Anna went home to rest"
+    other = item.replace("before Anna", "before Berta")
+    apart = item.replace("clerk Anna", "clerk Carla").replace("before Anna", "before Berta")
+    swapped = item.replace("Anna", "Berta")
+    got = found(spark, [item], [other, apart, swapped])
+    assert {k: (r.covered_words, r.n_changed) for k, r in got.items()} == {(0, 0): (19, 0), (1, 0): (16, 0), (2, 0): (24, 1)}
