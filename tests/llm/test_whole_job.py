@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seguelake.llm import decontaminate, toxicity
+from seguelake.llm import decontaminate, quality_rules, statistics, toxicity
 
 
 def terms_of(text):
@@ -80,3 +80,22 @@ def test_a_contradicted_value_removes_only_its_windows(spark):
     swapped = item.replace("Anna", "Berta")
     got = found(spark, [item], [other, apart, swapped])
     assert {k: (r.covered_words, r.n_changed) for k, r in got.items()} == {(0, 0): (19, 0), (1, 0): (16, 0), (2, 0): (24, 1)}
+
+
+def test_quality_rules_reject_junk_in_small_strata(spark):
+    draw = random.Random(5)
+    plain = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) + ("," if draw.random() < 0.1 else "") for _ in range(60))
+    junk = lambda: " ".join("#" * 4 + draw.choice("abcdefgh") * 2 + str(draw.randint(0, 99)) for _ in range(60))
+    given = [(lang, good) for lang, n in (("en", 900), ("es", 330), ("eu", 180), ("mt", 190)) for good in [1] * n + [0] * 20]
+    docs = spark.createDataFrame([(i, plain() if good else junk(), lang) for i, (lang, good) in enumerate(given)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, good) for i, (_, good) in enumerate(given)], "doc_id long, quality int")
+    lost = Counter()
+    for r in quality_rules.assess(docs, labels).collect():
+        lang, good = given[r.doc_id]
+        assert not r.base_failed
+        lost[lang, good] += not r.kept
+    for lang, n in (("en", 900), ("es", 330), ("eu", 180), ("mt", 190)):
+        assert lost[lang, 0] == 20 and lost[lang, 1] <= 0.02 * n, (lang, lost)
+    few = labels.filter("doc_id < 950 or doc_id > 1500")
+    limits = quality_rules.thresholds(statistics.document_counts(docs, keep=("doc_id", "lang")), few, "lang")
+    assert {(r.stratum, r.pooled) for r in quality_rules.uncovered(limits).collect()} == {("es", True), ("mt", True)}
