@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguelake.llm import decontaminate, jaccard_join, license_scan, lz_dedup, mixture, pitman_yor, quality_model, quality_rules, records, toxicity
+from seguelake.llm import decontaminate, jaccard_join, license_scan, lz_dedup, merkle, mixture, pitman_yor, quality_model, quality_rules, records, statements, toxicity
 from seguelake.llm.words import crc_remainder
 from seguelake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_merkle_manifest": statements.MERKLE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -101,3 +101,15 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and notices of every document."""
     return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Root, inclusion proof and verification of every document; every seventh is checked with a changed n_chars."""
+    docs = table(spark, folder, "documents")
+    fields = lambda n_chars: [F.col(c) for c in ("doc_id", "source", "lang")] + [n_chars, F.col("text")]
+    changed = F.expr(f"{crc_remainder('doc_id', 7)} = 0")
+    rows = docs.select("doc_id", "lang", merkle.leaf(fields(F.col("n_chars"))).alias("leaf"), F.when(changed, merkle.leaf(fields(F.col("n_chars") + 1))).alias("claimed"))
+    proofs = merkle.prove(merkle.build(rows, "lang", "doc_id", "leaf", carry=("doc_id", "claimed")))
+    folded = proofs.withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
