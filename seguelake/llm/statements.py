@@ -4,8 +4,8 @@ from __future__ import annotations
 
 _WRITTEN = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 # CRC-32 of the decimal digits, bit by bit
-_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce({0}::VARCHAR, ''), ''), x -> ascii(x)::BIGINT)),
-    (c, b) -> list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], (x, y) -> xor(x >> 1, 3988292384 * (x & 1)))))"""
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce({0}::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 
 def _leaf(n_chars: str) -> str:
@@ -43,8 +43,8 @@ SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(e.siblings) AS proo
 FROM leaves l JOIN reached e ON e.row = l.row AND e.n = 1 JOIN subroots s ON s.grp IS NOT DISTINCT FROM l.grp CROSS JOIN (SELECT h FROM above WHERE n = 1) r"""
 
 HARD_NEGATIVES = """WITH rows AS (
-    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
-    FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 scored AS (
     SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.q, r.q)::BIGINT AS score
     FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
