@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguelake.llm import decontaminate, jaccard_join, license_scan, lz_dedup, merkle, mixture, pitman_yor, quality_model, quality_rules, records, statements, toxicity
+from seguelake.llm import byte_bpe, decontaminate, jaccard_join, license_scan, lz_dedup, merkle, mixture, pitman_yor, quality_model, quality_rules, records, statements, toxicity
 from seguelake.llm.words import crc_remainder
 from seguelake.session import scratch_path
 
@@ -113,3 +113,11 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     proofs = merkle.prove(merkle.build(rows, "lang", "doc_id", "leaf", carry=("doc_id", "claimed")))
     folded = proofs.withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("proof")))
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and the text decoded from them."""
+    name = tokenizer_file("byte_bpe_50k.json")
+    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents"), name), name)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
