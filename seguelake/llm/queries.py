@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguelake.llm import byte_bpe, decontaminate, jaccard_join, license_scan, lz_dedup, merkle, mixture, pitman_yor, quality_model, quality_rules, records, statements, toxicity
+from seguelake.llm import byte_bpe, decontaminate, hard_negatives, jaccard_join, license_scan, lz_dedup, merkle, mixture, pitman_yor, quality_model, quality_rules, records, statements, toxicity
 from seguelake.llm.words import crc_remainder
 from seguelake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op11_merkle_manifest": statements.MERKLE}
+SQL: dict[str, str] = {"op11_merkle_manifest": statements.MERKLE, "op12_hard_negatives": statements.HARD_NEGATIVES}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -115,6 +115,14 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 @query
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and the text decoded from them."""
