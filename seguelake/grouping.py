@@ -260,6 +260,18 @@ def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     return kept if rank else kept.drop("__rank")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """1-based row number over the whole table, for any size and any ties: range partitions are numbered inside and shifted by the sizes of the earlier ones."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = cut_lineage(placed)
+    run, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(run.alias("__run")).agg(F.count(F.lit(1)).alias("__size"))  # a row per partition
+    earlier = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__run", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"))
+    joined = placed.join(F.broadcast(starts), run == F.col("__run"))
+    return joined.withColumn(name, F.col("__start") + inside + 1).drop("__at", "__run", "__size", "__start")
+
+
 def attach(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     """Add group aggregates to every row by aggregate-then-join, which never gathers a group."""
     totals = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()])

@@ -431,12 +431,3 @@ def snowball(edges: DataFrame, seeds: DataFrame, breadth: int, depth: int, cap:
             break
     return seen
 
-
-def discovery_list(near: DataFrame, titles: DataFrame, top: int = 30, owned: float = 0.985, hub_cap: int = 2) -> DataFrame:
-    """near(t, q, sim): candidate t, its nearest library item q.  Not owned, one per title key, at most ``hub_cap`` per explaining item."""
-    from seguelake.functions import text
-
-    d = near.filter(c("sim") <= owned).join(titles.select(c("id").alias("t"), F.substring(text.compact_key(c("title")), 1, 48).alias("tkey")), "t")
-    one = grouping.first_rows(d.filter(c("tkey") != ""), ["tkey"], [c("sim").desc(), "t"], 1)
-    capped = grouping.first_rows(one, ["q"], [c("sim").desc(), "t"], hub_cap, "hub_rank")
-    return capped.orderBy(c("sim").desc(), "t").limit(top)

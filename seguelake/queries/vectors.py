@@ -6,6 +6,7 @@ from seguelake.bindings import MIXES, PAIRS, SLOTS, TRACKS
 from seguelake.functions import vectors as vf
 from seguelake.functions.numeric import rounded
 from seguelake.operators import vectors as op
+from seguelake.operators.discovery import discovery_list
 from seguelake.queries import query
 from seguelake.queries.evaluation import r6
 from seguelake.queries.pairs import HEX, slot_pairs
@@ -210,14 +211,32 @@ def _(t):
     return op.snowball(e, seeds, 4, 3, 60).select("key", "level")
 
 
-@query(
-    "discovery_list",
-    f"""WITH {VU}, s AS (SELECT c.id AS t, l.id AS q, list_dot_product(c.v, l.v) AS sim FROM vu c JOIN vu l ON c.grp >= 5 AND l.grp < 5), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(sim, 12) DESC, q) AS r FROM s) WHERE r = 1 AND sim <= 0.985),
- k AS (SELECT n.*, substr(regexp_replace(lower(p_name || p_size), '[^a-z0-9]+', '', 'g'), 1, 48) AS tk FROM n JOIN part ON p_partkey = t), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tk ORDER BY sim DESC, t) AS r1 FROM k) WHERE r1 = 1),
- h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, t) AS r2 FROM o) SELECT t, q, round(sim, 6) AS sim FROM h WHERE r2 <= 2 ORDER BY h.sim DESC, t LIMIT 30""",
-)
+def discovery_sql(owned: float, near_copy: float, hub_cap: int) -> str:
+    """The walk itself, item by item, as a recursive statement."""
+    return f"""WITH RECURSIVE {VU}, s AS (SELECT c.id AS id, l.id AS hub, list_dot_product(c.v, l.v) AS sim FROM vu c JOIN vu l ON c.grp >= 5 AND l.grp < 5),
+ n AS (SELECT id, max(sim) AS sim, list(hub ORDER BY round(sim, 12) DESC, hub)[:3] AS hubs FROM s GROUP BY id),
+ k AS (SELECT n.*, regexp_replace(lower(p_name || p_size % 3), '[^a-z0-9]+', '', 'g') AS tkey, row_number() OVER (ORDER BY round(sim, 12) DESC, id) AS nr FROM n JOIN part ON p_partkey = id WHERE sim <= {owned}),
+ near AS (SELECT a.id, list(b.id) AS others FROM vu a JOIN vu b ON a.id <> b.id AND a.grp >= 5 AND b.grp >= 5 AND list_dot_product(a.v, b.v) > {near_copy} GROUP BY a.id),
+ todo AS (SELECT k.*, coalesce(others, []) AS others FROM k LEFT JOIN near USING (id)),
+ walk AS (SELECT 0::BIGINT AS nr, []::BIGINT[] AS ids, []::VARCHAR[] AS tkeys, []::BIGINT[] AS used, NULL::BIGINT AS hub
+  UNION ALL SELECT t.nr, CASE WHEN h IS NULL THEN ids ELSE list_append(ids, t.id) END, CASE WHEN h IS NULL THEN tkeys ELSE list_append(tkeys, t.tkey) END, CASE WHEN h IS NULL THEN used ELSE list_append(used, h) END, h
+  FROM (SELECT w.ids, w.tkeys, w.used, t.nr, t.id, t.tkey, CASE WHEN NOT list_contains(w.tkeys, t.tkey) AND NOT list_has_any(w.ids, t.others)
+   THEN list_filter(t.hubs, lambda x: len(list_filter(w.used, lambda y: y = x)) < {hub_cap})[1] END AS h FROM walk w JOIN todo t ON t.nr = w.nr + 1) t)
+ SELECT row_number() OVER (ORDER BY w.nr) AS rank, t.id, w.hub, round(t.sim, 6) AS sim FROM walk w JOIN todo t USING (nr) WHERE w.hub IS NOT NULL"""
+
+
+def discovery(t, **limits):
+    titles = t.raw("part").select(c("p_partkey").alias("id"), F.concat("p_name", c("p_size") % 3).alias("title"))
+    found = discovery_list(t.vectors.filter(c("grp") >= 5), t.vectors.filter(c("grp") < 5), titles, **limits)
+    return found.select("rank", "id", "hub", rounded(c("sim")).alias("sim"))
+
+
+@query("discovery_list", discovery_sql(0.985, 0.995, 2))
+def _(t):
+    return discovery(t)
+
+
+# these vectors are far apart; limits at which every rule of the walk has work to do
+@query("discovery_list_tight", discovery_sql(0.45, 0.3, 1))
 def _(t):
-    near = op.knn_join(t.vectors.filter(c("grp") >= 5), t.vectors.filter(c("grp") < 5), 1)
-    near = near.select(c("q").alias("t"), c("t").alias("q"), "sim")
-    titles = t.raw("part").select(c("p_partkey").alias("id"), F.concat("p_name", "p_size").alias("title"))
-    return op.discovery_list(near, titles).select("t", "q", rounded(c("sim")).alias("sim"))
+    return discovery(t, owned=0.45, near_copy=0.3, hub_cap=1)
