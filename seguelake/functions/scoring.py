@@ -34,6 +34,9 @@ NOVELTY = {
     "deterministic": (0.0, 0.0, 10**9), "conservative": (0.03, 0.02, 5), "balanced": (0.06, 0.04, 3),
     "fresh": (0.12, 0.08, 1), "exploratory": (0.15, 0.12, 0),
 }
+# score differences under which candidates count as tied, by novelty mode
+TIE_WIDTH = {"deterministic": 0.0, "conservative": 0.02, "balanced": 0.02, "fresh": 0.02, "exploratory": 0.05}
+STYLE_MARGIN = 0.15
 BEAT_OPTIONS = (32, 64, 96, 128, 160, 192, 224, 256)
 ACCEPT_BONUS, REJECT_PENALTY = 0.15, 0.40
 EXIT_STRATEGIES = (
@@ -264,9 +267,9 @@ def planner_score(mode: Column, harmonic: Column, bpm: Column, energy: Column, m
     return total
 
 
-def novelty_penalty(edge_seen: Column, appearances: Column, exempt: Column, mode: str) -> Column:
+def novelty_penalty(edge_seen: Column, appearances: Column, exempt: Column, mode: str, edge_factor: int = 1) -> Column:
     edge_cost, item_cost, allowance = NOVELTY[mode]
-    return F.when(F.coalesce(edge_seen, F.lit(False)), edge_cost).otherwise(0.0) + F.when(
+    return F.when(F.coalesce(edge_seen, F.lit(False)), edge_cost * edge_factor).otherwise(0.0) + F.when(
         ~F.coalesce(exempt, F.lit(False)) & (F.coalesce(appearances, F.lit(0)) > allowance), item_cost
     ).otherwise(0.0)
 

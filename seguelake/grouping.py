@@ -30,6 +30,11 @@ def _limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_SETTING, str(DEFAULT_LIMIT)))
 
 
+def group_limit(df: DataFrame) -> int:
+    """Rows of a group that one task may hold."""
+    return _limit(df)
+
+
 def large_groups(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
     """Keys of groups above the limit, or None.  At most rows / limit keys exist."""
     limit = _limit(df)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -636,46 +639,108 @@ def observation_members(observations: DataFrame, runs: DataFrame, by: str, order
     return d.select(by, "run", order, "item", F.when(c("__at") < c(order), "history").otherwise("candidate").alias("role"))
 
 
-def monotone_anchors(matches: DataFrame, by: str, rounds_limit: int = 10_000) -> DataFrame:
-    """matches(by, t, pos): longest subsequence of rising positions over rising time.
+PILES = "levels array<int>, poss array<long>, times array<double>, links array<int>"
+
+
+class Piles:
+    """Patience piles of one group, fed in order of time.
+
+    Pile k holds, in falling order of position, the first match of each position whose
+    longest chain has k members; each links to the earliest member of pile k - 1 under it.
+    At most (distinct positions)^2 / 2 entries exist, however many matches come.
+    """
 
-    Works in distributed rounds: a match's length is one more than the longest match
-    before it in time with a smaller position.  Lengths are settled level by level;
-    level k holds matches dominated by some match of level k - 1.  On each level only
-    the running minimum position matters, so levels are found with running scans.
+    def __init__(self, levels=(), poss=(), times=(), links=()):
+        self.poss, self.times, self.links = list(poss), list(times), list(links)
+        self.piles: list[list[int]] = []  # entry numbers; their negated positions rise
+        self.keys: list[list[int]] = []
+        for entry, (level, pos) in enumerate(zip(levels, self.poss)):
+            if level == len(self.piles):
+                self.piles.append([])
+                self.keys.append([])
+            self.piles[level].append(entry)
+            self.keys[level].append(-pos)
+        self.tops = [-k[-1] for k in self.keys]
+
+    def add(self, time: float, pos: int) -> None:
+        level = bisect.bisect_left(self.tops, pos)
+        if level < len(self.tops) and self.tops[level] == pos:
+            return  # an earlier match of this position does as well
+        link = -1
+        if level:
+            # the earliest entry of the pile below with a smaller position
+            link = self.piles[level - 1][bisect.bisect_right(self.keys[level - 1], -pos)]
+        if level == len(self.piles):
+            self.piles.append([])
+            self.keys.append([])
+            self.tops.append(pos)
+        self.tops[level] = pos
+        self.piles[level].append(len(self.poss))
+        self.keys[level].append(-pos)
+        self.poss.append(pos)
+        self.times.append(time)
+        self.links.append(link)
+
+    def state(self) -> dict:
+        levels = [0] * len(self.poss)
+        for level, pile in enumerate(self.piles):
+            for entry in pile:
+                levels[entry] = level
+        return {"levels": levels, "poss": self.poss, "times": self.times, "links": self.links}
+
+    def chain(self) -> list[tuple[float, int, int]]:
+        """(time, position, level) of the longest chain, the earliest one from its end backwards."""
+        out, entry, level = [], self.piles[-1][0] if self.piles else -1, len(self.piles)
+        while entry >= 0:
+            out.append((self.times[entry], self.poss[entry], level))
+            entry, level = self.links[entry], level - 1
+        return out[::-1]
+
+
+def monotone_anchors(matches: DataFrame, by: str) -> DataFrame:
+    """matches(by, t, pos): longest chain of rising positions over rising time per group: (by, t, pos, level).
+
+    Among equally long chains the one that ends first is taken, and backwards the earliest
+    match that fits.  Groups are read in runs of consecutive matches; what passes from run to
+    run is the piles, so the number of jobs follows the length of the longest group over the
+    run's size, not the length of the chain.  Matches without time or position are left out.
     """
-    d = cut_lineage(matches.select(by, "t", "pos").withColumn("level", F.lit(1)))
-    bins = [F.floor(c("t") / 3600.0)]
-    done, level = None, 1
-    while True:
-        # rows of the open level that have a smaller position before them move up
-        ran = grouping.running(d, [by], ["t"], bins, maxima={"__m": -c("pos")})
-
-        def shift(x: DataFrame, w) -> DataFrame:
-            return x.withColumn("__low", -F.lag("__m").over(w()))
-
-        ran = grouping.windowed(ran, [by], ["t"], bins, 1, shift)
-        stay = ran.filter(F.coalesce(c("__low") >= c("pos"), F.lit(True))).select(by, "t", "pos", F.lit(level).alias("level"))
-        d = cut_lineage(ran.filter(c("__low") < c("pos")).select(by, "t", "pos", F.lit(level + 1).alias("level")))
-        done = stay if done is None else done.unionByName(stay)
-        if d.isEmpty():
-            break
-        done, level = cut_lineage(done), level + 1
-        if level > rounds_limit:
-            raise RuntimeError("too many levels; lower the number of matches per group")
-    done = cut_lineage(done)
-    # walk back from each group's deepest level, taking the last compatible match of the level below
-    best = done.groupBy(by).agg(F.max("level").alias("__top"))
-    at = done.join(best, by).filter(c("level") == c("__top")).groupBy(by).agg(F.min_by(F.struct("t", "pos", "level"), "t").alias("p"))
-    path = at.select(by, "p.*")
-    chain = path
-    for _ in range(level - 1):
-        below = done.select(by, c("t").alias("t2"), c("pos").alias("pos2"), (c("level") + 1).alias("level"))
-        step = path.join(below, [by, "level"]).filter((c("t2") < c("t")) & (c("pos2") < c("pos")))
-        path = step.groupBy(by).agg(F.max_by(F.struct(c("t2").alias("t"), c("pos2").alias("pos"), (c("level") - 1).alias("level")), "t2").alias("p")).select(by, "p.*")
-        path = cut_lineage(path)
-        chain = chain.unionByName(path)
-    return chain
+    rows_per_run = grouping.group_limit(matches)
+    placed = grouping.numbered(matches.filter("t IS NOT NULL AND pos IS NOT NULL").select(by, c("t").cast("double").alias("t"), c("pos").cast("long").alias("pos")), [c(by).asc(), c("t").asc(), c("pos").desc()], "__n")
+    firsts = placed.groupBy(c(by).alias("__g")).agg(F.min("__n").alias("__first"))
+    placed = cut_lineage(placed.join(firsts, c(by).eqNullSafe(c("__g"))).select(by, "t", "pos", "__n", F.floor((c("__n") - c("__first")) / rows_per_run).cast("int").alias("__run")))
+    last = placed.agg(F.max("__run")).first()[0]
+    kind = matches.schema[by].dataType.simpleString()
+
+    def feed(run: pd.DataFrame, piles: Piles) -> Piles:
+        for time, pos in zip(*(run.sort_values("__n")[x].tolist() for x in ("t", "pos"))):
+            piles.add(time, pos)
+        return piles
+
+    def alone(run: pd.DataFrame) -> pd.DataFrame:
+        chain = feed(run, Piles()).chain()
+        return pd.DataFrame({by: [run[by].iloc[0]] * len(chain), "t": [x[0] for x in chain], "pos": [x[1] for x in chain], "level": [x[2] for x in chain]})
+
+    def going_on(run: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(run):
+            return before[[by, "levels", "poss", "times", "links"]]
+        known = [before[x].iloc[0].tolist() for x in ("levels", "poss", "times", "links")] if len(before) else []
+        return pd.DataFrame([{by: run[by].iloc[0], **feed(run, Piles(*known)).state()}])
+
+    def finish(state: pd.DataFrame) -> pd.DataFrame:
+        rows = [(g, *x) for g, *known in state[[by, "levels", "poss", "times", "links"]].itertuples(index=False) for x in Piles(*[k.tolist() for k in known]).chain()]
+        return pd.DataFrame(rows, columns=[by, "t", "pos", "level"])
+
+    schema = f"`{by}` {kind}, t double, pos long, level int"
+    if not last:
+        return placed.groupBy(by).applyInPandas(alone, schema)
+    state = None
+    for run in range(last + 1):
+        part = placed.filter(c("__run") == run)
+        if state is None:
+            state = part.limit(0).select(by, *[F.lit(None).cast(x.split(" ")[1]).alias(x.split(" ")[0]) for x in PILES.split(", ")])
+        state = cut_lineage(part.groupBy(by).cogroup(state.groupBy(by)).applyInPandas(going_on, f"`{by}` {kind}, {PILES}"))
+    return state.mapInPandas(lambda parts: map(finish, parts), schema)
 
 
 def jump_contour(slots: DataFrame, by: str, mix: str, order: str, bins) -> tuple[DataFrame, DataFrame]:

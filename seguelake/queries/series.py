@@ -446,10 +446,18 @@ def _(t):
     return op.choice_observations(runs_of(t), "mix", "position", t.slot_bins, "item")
 
 
-@query("monotone_anchors")
+@query(
+    "monotone_anchors",
+    f"""WITH RECURSIVE {FRAMES}, m AS (SELECT track, t, k AS pos, row_number() OVER (PARTITION BY track ORDER BY t, k DESC) AS n FROM frames WHERE k IS NOT NULL),
+ w AS (SELECT track, 0::BIGINT AS n, []::INTEGER[] AS poss, []::BIGINT[] AS lens, []::BIGINT[] AS links FROM m GROUP BY track
+  UNION ALL SELECT track, n, list_append(poss, pos), list_append(lens, best + 1), list_append(links, coalesce([i FOR i IN range(1, n) IF poss[i] < pos AND lens[i] = best][1], 0))
+  FROM (SELECT w.track, m.n, m.pos, w.poss, w.lens, w.links, coalesce(list_max([w.lens[i] FOR i IN range(1, m.n) IF w.poss[i] < m.pos]), 0) AS best FROM w JOIN m ON m.track = w.track AND m.n = w.n + 1) x),
+ z AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY track ORDER BY n DESC) = 1),
+ c AS (SELECT track, list_position(lens, list_max(lens))::BIGINT AS i, links, lens FROM z UNION ALL SELECT track, links[i], links, lens FROM c WHERE links[i] > 0)
+ SELECT c.track, m.t, m.pos::BIGINT AS pos, CAST(lens[i] AS INTEGER) AS level FROM c JOIN m ON m.track = c.track AND m.n = c.i""",
+)
 def _(t):
-    d = t.frames.filter(c("k") % 4 == 0).select("track", "t", c("k").alias("pos"))
-    return op.monotone_anchors(d, "track")
+    return op.monotone_anchors(t.frames.select("track", "t", c("k").alias("pos")), "track")
 
 
 @query("jump_contour")
