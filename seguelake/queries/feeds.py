@@ -5,15 +5,22 @@ from pyspark.sql import functions as F
 from seguelake.functions.numeric import rounded
 from seguelake.queries import query
 from seguelake.streaming import feeds as op
+from seguelake.streaming import state
 
 c = F.col
-MARK = "(SELECT max(ts) FROM events)"
 
 
 def events(t):
     return op.replay(t.spark, t.folder, "events", "ts")
 
 
+def to_the_end(t, job, mode, keys=None):
+    """Drain ``job`` over all events and close it at the end of the feed."""
+    stream = events(t)
+    feed = op.with_end(stream, "ts")
+    return op.drain(job(feed.stream), mode, keys, lambda: op.write_end(t.spark, stream.schema, feed.marks, "ts"))
+
+
 def secs(name):
     return F.unix_timestamp(c(name)).alias(name)
 
@@ -31,36 +38,45 @@ BURST = f"""g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id OR
  b AS (SELECT user_id, run, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS votes, arg_min(event_type, ts) AS label, max(ts) AS last FROM r GROUP BY 1, 2)"""
 
 
-def bursts(t):
-    return op.drain(op.comment_sessions(events(t), "user_id", "ts", "2 hours", "1 hour", "event_id", "event_type"), "append")
-
-
-@query("comment_bursts", f'WITH {BURST} SELECT user_id, "start", votes, label FROM b WHERE last + INTERVAL 2 HOUR <= {MARK} - INTERVAL 1 HOUR')
+@query("comment_bursts", f'WITH {BURST} SELECT user_id, "start", votes, label FROM b')
 def _(t):
-    return bursts(t).select("user_id", secs("start"), "votes", "label")
+    d = to_the_end(t, lambda e: op.comment_sessions(e, "user_id", "ts", "2 hours", "1 hour", "event_id", "event_type"), "append")
+    return d.select("user_id", secs("start"), "votes", "label")
 
 
-@query("merged_bursts")
+@query(
+    "merged_bursts",
+    """WITH RECURSIVE g AS (SELECT *, epoch_us(ts) AS us, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY us) AS run FROM g),
+ o AS (SELECT *, list(us) OVER (PARTITION BY user_id, run ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM r),
+ b AS (SELECT user_id, run, min(us) AS start, any_value((l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) // 2) AS middle, count(*) AS votes, count(DISTINCT event_id % 7) AS people, arg_min(event_type, us) FILTER (event_type <> 'click') AS label, row_number() OVER (PARTITION BY user_id ORDER BY run) AS k FROM o GROUP BY user_id, run),
+ m AS (SELECT user_id, k, start, middle, votes, people, label, 1 AS grp FROM b WHERE k = 1
+  UNION ALL SELECT b.user_id, b.k, CASE WHEN j THEN m.start ELSE b.start END, CASE WHEN j THEN m.middle ELSE b.middle END, CASE WHEN j THEN m.votes + b.votes ELSE b.votes END, CASE WHEN j THEN m.people + b.people ELSE b.people END, CASE WHEN j THEN coalesce(m.label, b.label) ELSE b.label END, CASE WHEN j THEN m.grp ELSE m.grp + 1 END
+  FROM m JOIN b ON b.user_id = m.user_id AND b.k = m.k + 1, LATERAL (SELECT b.middle - m.middle < 14400000000 AS j) x)
+ SELECT user_id, start, middle, votes, people, label FROM m QUALIFY row_number() OVER (PARTITION BY user_id, grp ORDER BY k DESC) = 1""",
+)
 def _(t):
-    return op.merge_bursts(bursts(t), "user_id", 14400.0).select("user_id", "burst", "votes", "label")
+    def job(e):
+        named = e.withColumn("name", F.when(c("event_type") == "click", "ID").otherwise(c("event_type"))).withColumn("person", c("event_id") % 7)
+        return state.merged_bursts(named, "user_id", "ts", "person", "name", "event_id", 7200.0, 14400.0, "1 hour")
+
+    return to_the_end(t, job, "append").select(c("key").cast("long").alias("user_id"), "start", "middle", "votes", "people", "label")
 
 
 @query(
     "per_second_features",
-    f"""SELECT user_id, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS "start", count(*) AS n, round(avg(value), 6) AS mean, max(value) AS top FROM events
- WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {MARK} - INTERVAL 1 HOUR GROUP BY 1, 2""",
+    """SELECT user_id, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS "start", count(*) AS n, round(avg(value), 6) AS mean, max(value) AS top FROM events GROUP BY 1, 2""",
 )
 def _(t):
-    d = op.drain(op.window_features(events(t), "user_id", "ts", "value", "1 hour", "1 hour"), "append")
+    d = to_the_end(t, lambda e: op.window_features(e, "user_id", "ts", "value", "1 hour", "1 hour"), "append")
     return d.select("user_id", secs("start"), "n", rounded(c("mean")).alias("mean"), "top")
 
 
 @query(
     "sliding_density",
-    f"""WITH w AS (SELECT user_id, value, time_bucket(INTERVAL 30 MINUTE, ts) - i * INTERVAL 30 MINUTE AS s FROM events, range(0, 2) r(i)) SELECT user_id, CAST(epoch(s) AS BIGINT) AS "start", count(*) AS n FROM w WHERE s + INTERVAL 1 HOUR <= {MARK} - INTERVAL 1 HOUR GROUP BY 1, 2""",
+    """WITH w AS (SELECT user_id, value, time_bucket(INTERVAL 30 MINUTE, ts) - i * INTERVAL 30 MINUTE AS s FROM events, range(0, 2) r(i)) SELECT user_id, CAST(epoch(s) AS BIGINT) AS "start", count(*) AS n FROM w GROUP BY 1, 2""",
 )
 def _(t):
-    d = op.drain(op.window_features(events(t), "user_id", "ts", "value", "1 hour", "1 hour", "30 minutes"), "append")
+    d = to_the_end(t, lambda e: op.window_features(e, "user_id", "ts", "value", "1 hour", "1 hour", "30 minutes"), "append")
     return d.select("user_id", secs("start"), "n")
 
 
@@ -86,10 +102,24 @@ def _(t):
     return op.drain(op.progress_counters(d, "stage", "status"), "complete")
 
 
-@query("play_history_state", "SELECT user_id, event_type AS item, count(*) AS plays, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM events GROUP BY 1, 2")
+def history(t):
+    d = to_the_end(t, lambda e: state.recent_edges(e, "user_id", "ts", "event_type", "event_id", 20, "1 hour"), "update", ["key"])
+    return d.withColumn("user_id", c("key").cast("long"))
+
+
+@query("play_history_state", "SELECT user_id, event_type AS item, count(*) AS plays FROM events GROUP BY 1, 2")
+def _(t):
+    return history(t).select("user_id", F.explode("plays").alias("p")).select("user_id", "p.item", c("p.n").alias("plays"))
+
+
+@query(
+    "recent_edges",
+    """WITH s AS (SELECT user_id, ts, event_id, lag(event_type) OVER w AS a, event_type AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS recency FROM s WHERE a <> b) SELECT user_id, CAST(recency AS INTEGER) AS recency, a, b FROM r WHERE recency <= 20""",
+)
 def _(t):
-    d = op.play_history(events(t).withColumnRenamed("event_type", "item"), "user_id", "item", "ts")
-    return op.drain(d, "update", ["user_id", "item"]).select("user_id", "item", "plays", secs("last"))
+    d = history(t).select("user_id", F.posexplode("edges").alias("at", "e"))
+    return d.select("user_id", (c("at") + 1).alias("recency"), "e.a", "e.b")
 
 
 @query(

@@ -7,9 +7,11 @@ end of the available input and returns what it produced as a table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seguelake import grouping
 from seguelake.session import scratch_path
@@ -17,29 +19,71 @@ from seguelake.session import scratch_path
 c = F.col
 
 
-def replay(spark: SparkSession, folder: str, table: str, time: str | None = None) -> DataFrame:
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+END_OF_TIME = "2200-01-01 00:00:00"  # data frames in Python workers hold times up to 2262
+
+
+class Feed(NamedTuple):
+    """A stream and the folder to which its end mark is written."""
+
+    stream: DataFrame
+    marks: str
+
+
+def replay(spark: SparkSession, folder: str, table: str, time: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """A parquet table as a file stream; zone-less times become timestamps so that watermarks apply."""
     path = f"{folder}/{table}.parquet"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    source = spark.readStream.schema(spark.read.parquet(path).schema)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
-        stream = source.parquet(path)
-    else:  # a file source wants a folder
+    stored = spark.read.parquet(path)
+    one = stored.select(c("_metadata.file_path").alias("place")).limit(1).collect()
+    source = spark.readStream.schema(stored.schema)
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    if one and one[0].place.endswith(f"/{table}.parquet"):  # a single file, and a file source wants a folder
         stream = source.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    else:
+        stream = source.parquet(path)
     return stream.withColumn(time, c(time).cast("timestamp")) if time else stream
 
 
-def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Process all available input; with ``keys`` the newest row per key wins over older batches."""
+def with_end(stream: DataFrame, time: str) -> Feed:
+    """The stream joined by its end marks: rows with nothing but a time far ahead of all others.
+
+    A mark moves the watermark past every real row, so that all windows, sessions and timers
+    close; it stays in the open itself, since nothing comes after it.
+    """
     spark = stream.sparkSession
-    out, checkpoint = scratch_path(spark, "feed"), scratch_path(spark, "offsets")
+    marks = scratch_path(spark, "end-marks")
+    spark.createDataFrame([], stream.schema).write.parquet(marks)
+    return Feed(stream.unionByName(spark.readStream.schema(stream.schema).parquet(marks)), marks)
+
+
+def write_end(spark: SparkSession, feed_schema: T.StructType, marks: str, time: str) -> None:
+    columns = [(F.lit(END_OF_TIME) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in feed_schema.fields]
+    spark.range(1).select(*columns).write.mode("append").parquet(marks)
+
+
+def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, end: Callable[[], None] | None = None, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """Process all available input; with ``keys`` the newest row per key wins over older batches.
+
+    ``end`` writes the feed's end mark once all input is read; the job then goes on from
+    its checkpoint and closes what is open.  A given ``checkpoint`` and ``out`` are continued.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # state on disk, with timers
+    out, checkpoint = out or scratch_path(spark, "feed"), checkpoint or scratch_path(spark, "offsets")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         # the batch id names the folder, so a repeated batch overwrites itself
         batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
 
-    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(save).start()
-    query.awaitTermination()
+    def run() -> None:
+        query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(save).start()
+        query.awaitTermination()
+
+    run()
+    if end is not None:
+        end()
+        run()
     rows = spark.read.parquet(out).drop("part")
     if keys:
         rows = grouping.first_rows(rows, keys, [c("__batch").desc()])
@@ -65,18 +109,6 @@ def comment_sessions(stream: DataFrame, by: str, time: str, gap: str, delay: str
     return agg.select(by, c("w.start").alias("start"), c("w.end").alias("end"), "votes", "people", "middle", "label")
 
 
-def merge_bursts(bursts: DataFrame, by: str, within: float) -> DataFrame:
-    """Join bursts whose middles are closer than ``within`` seconds; votes add up."""
-    bins = [F.floor(c("middle") / 86400)]
-
-    def step(d: DataFrame, w) -> DataFrame:
-        return d.withColumn("__new", F.coalesce((c("middle") - F.lag("middle").over(w()) >= within).cast("int"), F.lit(1)))
-
-    d = grouping.windowed(bursts, [by], ["middle"], bins, 1, step)
-    d = grouping.running(d, [by], ["middle"], bins, sums={"burst": c("__new")})
-    return d.groupBy(by, "burst").agg(F.sum("votes").alias("votes"), F.min("middle").alias("first"), F.max("middle").alias("last"), F.min_by("label", "middle").alias("label"))
-
-
 def window_features(stream: DataFrame, by: str, time: str, value: str, size: str, delay: str, slide: str | None = None) -> DataFrame:
     """Tumbling or sliding event statistics per key."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
@@ -100,11 +132,6 @@ def progress_counters(stream: DataFrame, stage: str, status: str) -> DataFrame:
     return stream.groupBy(stage, status).agg(F.count(F.lit(1)).alias("n"))
 
 
-def play_history(stream: DataFrame, user: str, item: str, time: str) -> DataFrame:
-    """Appearances and last time of each item per user, as running state (update mode)."""
-    return stream.groupBy(user, item).agg(F.count(F.lit(1)).alias("plays"), F.max(time).alias("last"))
-
-
 def ingest(stream: DataFrame, ledger: DataFrame, key: str, checksum: str, work: Callable[[DataFrame], DataFrame], failed: Column) -> DataFrame:
     """Only new, changed or failed inputs are worked on; returns the ledger rows of this run."""
     spark = stream.sparkSession
