@@ -277,6 +277,13 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     return joined.withColumn(name, F.col("__start") + inside + 1).drop("__at", "__run", "__size", "__start")
 
 
+def numbered_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
+    """1-based row number per group for any group size: the table's row numbers less the group's first one."""
+    placed = numbered(df, [*[F.col(b).asc_nulls_first() for b in by], *order], "__global")
+    firsts = placed.groupBy(*by).agg(F.min("__global").alias("__first"))
+    return _join_back(placed, firsts, list(by)).withColumn(name, F.col("__global") - F.col("__first") + 1).drop("__global", "__first")
+
+
 def attach(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     """Add group aggregates to every row by aggregate-then-join, which never gathers a group."""
     totals = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()])

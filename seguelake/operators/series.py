@@ -621,7 +621,7 @@ def choice_observations(runs: DataFrame, by: str, order: str, bins, item: str) -
 
     History is the run before the pick and candidates are the pick and what follows.
     Both are given by size and by the sum of their ids instead of as arrays, which
-    would repeat every run once per position; ``observation_members`` lists them.
+    would repeat every run once per position; ``histories`` lists them.
     """
     d = grouping.running(runs, [by, "run"], [order], bins, sums={"k": F.lit(1), "seen": c(item)})
     d = grouping.attach(d, [by, "run"], total=F.sum(item))
@@ -632,13 +632,6 @@ def choice_observations(runs: DataFrame, by: str, order: str, bins, item: str) -
     )
 
 
-def observation_members(observations: DataFrame, runs: DataFrame, by: str, order: str, item: str) -> DataFrame:
-    """(observation, item, role) rows: history before the pick, candidates from it on."""
-    members = runs.select(by, "run", c(order).alias("__at"), c(item).alias("item"))
-    d = observations.select(by, "run", order).join(members, [by, "run"])
-    return d.select(by, "run", order, "item", F.when(c("__at") < c(order), "history").otherwise("candidate").alias("role"))
-
-
 PILES = "levels array<int>, poss array<long>, times array<double>, links array<int>"
 
 

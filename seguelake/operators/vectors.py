@@ -301,67 +301,6 @@ def pack_cases(rows: DataFrame, x: str) -> DataFrame:
     return d.select(c("case").cast("long"), c("dj").cast("long"), F.transform("o", lambda o: o["x"]).alias("xs"), (F.array_position(truth, True) - 1).cast("int").alias("y"))
 
 
-def _case_loss(xs, y: int, w: np.ndarray) -> tuple[float, np.ndarray]:
-    m = np.stack(xs)
-    s = m @ w
-    p = np.exp(s - s.max())
-    p /= p.sum()
-    return -float(np.log(max(p[y], 1e-12))), p @ m - m[y]
-
-
-def fit_choice(cases: DataFrame, dims: int, l2: float = 1e-3, rounds: int = 20, rate: float = 1.0) -> list[float]:
-    """Softmax choice weights by full-batch gradient steps.
-
-    Every round is one pass: partitions add up their gradients and one small row
-    per partition is summed.  Only the weight vector lives on the driver.
-    """
-    packed = cut_lineage(cases.select("xs", "y"))
-    w = np.zeros(dims)
-    speed = np.zeros(dims)
-    for _ in range(rounds):
-
-        def run(parts: Iterator[pd.DataFrame], w=w) -> Iterator[pd.DataFrame]:
-            g, n = np.zeros(dims), 0
-            for p in parts:
-                for xs, y in zip(p["xs"], p["y"]):
-                    g += _case_loss(xs, y, w)[1]
-                    n += 1
-            yield pd.DataFrame({"g": [g.tolist()], "n": [n]})
-
-        sums = packed.mapInPandas(run, "g array<double>, n long").agg(
-            F.array(*[F.sum(F.get("g", F.lit(i))) for i in range(dims)]).alias("g"), F.sum("n").alias("n")
-        ).first()
-        if not sums["n"]:
-            break
-        grad = np.array(sums["g"]) / sums["n"] + l2 * w
-        speed = 0.8 * speed - rate * 0.2 * grad
-        w = w + speed
-    return [float(v) for v in w]
-
-
-def fit_choice_per_dj(cases: DataFrame, base: list[float], l2: float = 0.1, rounds: int = 5, rate: float = 0.5) -> DataFrame:
-    """(dj, w): weights per DJ around the shared ones, pulled back by the penalty; gradients are summed per DJ."""
-    dims = len(base)
-    packed = cut_lineage(cases)
-    start = np.array(base)
-    w = packed.select("dj").distinct().withColumn("w", F.array(*map(F.lit, base)))
-    for _ in range(rounds):
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                grads = [_case_loss(xs, y, np.asarray(wt))[1].tolist() for xs, y, wt in zip(p["xs"], p["y"], p["w"])]
-                yield pd.DataFrame({"dj": p["dj"], "g": grads})
-
-        grads = packed.join(w, "dj").mapInPandas(run, "dj long, g array<double>")
-        mean = grads.groupBy("dj").agg(F.array(*[F.avg(F.get("g", F.lit(i))) for i in range(dims)]).alias("g"))
-        base_col = F.array(*[F.lit(float(v)) for v in start])
-        step = F.transform(
-            F.arrays_zip(c("w"), c("g"), base_col.alias("b")), lambda z: z["w"] - rate * (z["g"] + l2 * (z["w"] - z["b"]))
-        )
-        w = cut_lineage(w.join(mean, "dj").select("dj", step.alias("w")))
-    return w
-
-
 def choice_losses(cases: DataFrame, weights: Column) -> DataFrame:
     """Per case: loss, rank of the pick (1 + better ones) and pool size, under a weight column."""
     d = cases.withColumn("w", weights).withColumn("s", F.transform("xs", lambda x: vectors.dot(x, c("w"))))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from seguelake.bindings import FRAMES, MIXES, PAIRS, SLOTS, TRACKS, sql_fold
 from seguelake.functions import tempo
 from seguelake.functions.numeric import rounded
+from seguelake.operators import histories
 from seguelake.operators import joins as op
 from seguelake.operators.filters import qualify_reason
 from seguelake.queries import query
@@ -281,6 +282,16 @@ def _(t):
     return op.strict_history(t.mixes, t.plays.select("mix", "track"), 90).select("mix", "prior_sets", "window_sets", "prior_tracks")
 
 
+@query(
+    "strict_history_members",
+    f"""WITH {MIXES} SELECT m.mix, p.mix AS prior_mix, CAST(m.day - p.day AS INTEGER) AS days_before FROM mixes m JOIN mixes p ON p.dj = m.dj AND p.day < m.day AND m.day - p.day <= 365""",
+)
+def _(t):
+    references, chunks = histories.prior_sets(t.mixes, t.plays.select("mix", "track"), 365)
+    d = histories.members(references, chunks, ["dj"])
+    return d.select("mix", c("member.prior_mix").alias("prior_mix"), F.date_diff("day", c("member.day")).alias("days_before"))
+
+
 @query(
     "next_observation_join",
     f"""WITH {SLOTS}, o AS (SELECT mix, position, track AS selected, lead(track) OVER w AS next_selected, count(*) OVER (PARTITION BY mix) - position + 1 AS n_candidates FROM slots WINDOW w AS (PARTITION BY mix ORDER BY position))

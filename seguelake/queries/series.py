@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from seguelake.bindings import FRAMES, MIXES, PAIRS, SLOTS, TRACKS
 from seguelake.functions.numeric import rounded
-from seguelake.operators import joins, series as op
+from seguelake.operators import histories, joins, series as op
 from seguelake.operators.filters import qualify_reason
 from seguelake.queries import query
+from seguelake.session import cut_lineage
 from seguelake.queries.evaluation import r6
 from seguelake.queries.filters import with_alignment
 from seguelake.queries.joins import windows_of, WINDOWS
@@ -446,6 +447,19 @@ def _(t):
     return op.choice_observations(runs_of(t), "mix", "position", t.slot_bins, "item")
 
 
+@query(
+    "observation_members",
+    f"""{RUNS}, o AS (SELECT *, row_number() OVER w AS k FROM runs WINDOW w AS (PARTITION BY mix, run ORDER BY position))
+ SELECT a.mix, a.run, a.position, CASE WHEN b.k < a.k THEN 'history' ELSE 'candidate' END AS role, CAST(b.k - 1 AS BIGINT) AS place, b.item, b.k = a.k AS picked FROM o a JOIN o b ON a.mix = b.mix AND a.run = b.run WHERE a.k >= 2 AND a.k < a.run_len""",
+)
+def _(t):
+    runs = cut_lineage(runs_of(t))
+    picks = op.choice_observations(runs, "mix", "position", t.slot_bins, "item").select("mix", "run", "position", "n_history", "n_candidates")
+    chunks = histories.chunked(runs, ["mix", "run"], [c("position")], ["item", "position"])
+    d = histories.members(histories.observation_references(picks, ["mix", "run"]), chunks, ["mix", "run"])
+    return d.select("mix", "run", "position", "role", c("member.place").alias("place"), c("member.item").alias("item"), (c("member.position") == c("position")).alias("picked"))
+
+
 @query(
     "monotone_anchors",
     f"""WITH RECURSIVE {FRAMES}, m AS (SELECT track, t, k AS pos, row_number() OVER (PARTITION BY track ORDER BY t, k DESC) AS n FROM frames WHERE k IS NOT NULL),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from seguelake.bindings import MIXES, PAIRS, SLOTS, TRACKS
 from seguelake.functions import vectors as vf
 from seguelake.functions.numeric import rounded
+from seguelake.operators import choice_model
 from seguelake.operators import vectors as op
 from seguelake.operators.discovery import discovery_list
 from seguelake.queries import query
@@ -146,29 +147,45 @@ def fitted(t):
     return d.withColumn("both", F.concat("hand", "emb"))
 
 
+def packed(t, x="both"):
+    from seguelake.session import cut_lineage
+
+    rows = fitted(t)
+    return {part: cut_lineage(op.pack_cases(rows.filter(c("split") == part), x)) for part in ("train", "valid", "test")}
+
+
+SPLITS = f"""WITH {SLOTS}, {PAIRS}, h AS (SELECT mix, row_number() OVER (ORDER BY sha256('9|' || mix), mix) / count(*) OVER () AS s FROM (SELECT DISTINCT mix FROM pairs)), sp AS (SELECT mix, CASE WHEN s <= 0.7 THEN 'train' WHEN s <= 0.85 THEN 'valid' ELSE 'test' END AS split FROM h)"""
+
+
 @query("conditional_choice_model")
 def _(t):
-    rows = fitted(t).filter(c("split") == "train")
-    w = op.fit_choice(op.pack_cases(rows, "both"), 19, rounds=10)
-    names = F.array(*[F.struct(F.lit(i).alias("feature"), F.lit(v).alias("weight")) for i, v in enumerate(w)])
-    return rows.agg(F.count(F.lit(1)).alias("training_rows")).select("training_rows", F.explode(names).alias("z")).select("training_rows", "z.feature", rounded(c("z.weight")).alias("weight"))
+    model = choice_model.fit(packed(t)["train"], 19, per_dj=True)
+    shared = F.array(*[F.struct(F.lit(i).alias("feature"), F.lit(v).alias("weight")) for i, v in enumerate(model.weights)])
+    djs = model.own.agg(F.count(F.lit(1)).alias("djs"), F.max(F.transform("v", lambda x: F.abs(x))[0]).alias("largest_own"))
+    return djs.select("djs", rounded(c("largest_own")).alias("largest_own"), F.explode(shared).alias("z")).select("djs", "largest_own", "z.feature", rounded(c("z.weight")).alias("weight"))
+
+
+# at the optimum the gradient vanishes; it is worked out again from cases and weights by column expressions
+@query(
+    "choice_model_gradient",
+    f"""{SPLITS}, n AS (SELECT count(*) AS cases FROM pairs JOIN sp USING (mix) WHERE split = 'train') SELECT CAST(r.i AS INTEGER) AS feature, 0.0::DOUBLE AS gradient, cases FROM n, range(0, 19) r(i)""",
+)
+def _(t):
+    cases = packed(t)["train"]
+    return choice_model.gradient(cases, choice_model.fit(cases, 19, per_dj=True)).select("feature", rounded(c("gradient")).alias("gradient"), "cases")
 
 
 @query("choice_model_metrics")
 def _(t):
-    rows = fitted(t)
-    train, test = rows.filter(c("split") == "train"), rows.filter(c("split") == "test")
     out = None
-    for model, x, dims in (("uniform", "emb", 4), ("hand", "hand", 15), ("sound", "emb", 4), ("both", "both", 19)):
-        w = [0.0] * dims if model == "uniform" else op.fit_choice(op.pack_cases(train, x), dims, rounds=6)
-        losses = op.choice_losses(op.pack_cases(test, x), F.array(*map(F.lit, w)))
-        part = op.choice_metrics(losses, train).withColumn("model", F.lit(model))
-        out = part if out is None else out.unionByName(part)
-    own = op.fit_choice_per_dj(op.pack_cases(train, "emb"), w[15:], rounds=2)
-    shared = F.array(*map(F.lit, w[15:]))
-    cases = op.pack_cases(test, "emb").join(own.withColumnRenamed("w", "own"), "dj", "left")
-    last = op.choice_metrics(op.choice_losses(cases, F.coalesce("own", shared)), train).withColumn("model", F.lit("sound_per_dj"))
-    return r6(out.unionByName(last), ("nll", "top1", "mrr", "uniform_nll"), ("model", "cases", "known_dj"))
+    for model, x, dims, per_dj in (("uniform", "emb", 4, False), ("hand", "hand", 15, False), ("sound", "emb", 4, False), ("both", "both", 19, False), ("both_per_dj", "both", 19, True)):
+        cases = packed(t, x)
+        fit = choice_model.ChoiceModel([0.0] * dims, None, 0.0, 0) if model == "uniform" else choice_model.fit(cases["train"], dims, per_dj=per_dj)
+        for part in ("valid", "test"):
+            losses = op.choice_losses(choice_model.scored(cases[part], fit), c("weights"))
+            row = op.choice_metrics(losses, cases["train"]).withColumns({"model": F.lit(model), "split": F.lit(part)})
+            out = row if out is None else out.unionByName(row)
+    return r6(out, ("nll", "top1", "mrr", "uniform_nll"), ("model", "split", "cases", "known_dj"))
 
 
 @query(
