@@ -223,26 +223,44 @@ def choose_k(vecs: DataFrame, vec: str, ks: range, seed: int) -> DataFrame:
     return vecs.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
-def decoy_pools(cases: DataFrame, universe: DataFrame, n: int, seed: int) -> DataFrame:
-    """cases(case, pool, true_item), universe(pool, item): the true item and up to n - 1 decoys of its pool.
+def draw_decoys(cases: DataFrame, numbered: DataFrame, n: int, seed: int) -> DataFrame:
+    """cases(case, pool, cur, true_item), numbered(pool, pos, item): the true item and up to n - 1 others of its pool, never the current one.
 
-    The pool is numbered once and cut into n equal strata from a hashed start; a hash
-    picks one member per stratum.  Uniform, same-mix and nearest-neighbour pools only
-    differ in ``pool``.  Rows are ordered by item, so position says nothing.
+    A pool is cut into n + 1 strata from a hashed start and a hash picks one member of
+    each; what is left of the current and the true item makes up the decoys.  Pools of up
+    to n + 1 members are taken whole.  A case meets n + 1 places, not its pool.
     """
-    numbered = grouping.position(universe, ["pool"], ["item"], [F.floor(c("item") / 65536)], "pos")
-    sizes = universe.groupBy("pool").agg(F.count(F.lit(1)).alias("size"))
-    d = cases.join(sizes, "pool").withColumn("take", F.least(F.lit(n), c("size")))
+    sizes = numbered.groupBy("pool").agg(F.count(F.lit(1)).alias("size"))
+    d = cases.join(sizes, "pool").withColumn("take", F.least(F.lit(n + 1).cast("long"), c("size")))
     hex_int = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
-    d = d.withColumn("start", hex_int(hashes.seeded(seed, c("case")), 1)).withColumn("j", F.explode(F.sequence(F.lit(0), c("take") - 1)))
+    d = d.withColumn("start", hex_int(hashes.seeded(seed, c("case")), 1)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), c("take") - 1)))
     stride = F.floor(c("size") / c("take"))
     jitter = hex_int(hashes.seeded(seed, c("case"), c("j")), 1) % stride
     drawn = d.withColumn("pos", (c("start") + c("j") * stride + jitter) % c("size") + 1).join(numbered, ["pool", "pos"])
-    decoys = drawn.filter(c("item") != c("true_item")).select("case", "pool", "item", "j", "true_item")
+    decoys = drawn.filter((c("item") != c("true_item")) & (c("item") != c("cur"))).select("case", "pool", "item", "j")
     kept = grouping.first_rows(decoys, ["case"], ["j"], n - 1).select("case", "pool", "item", F.lit(False).alias("is_true"))
     return kept.unionByName(cases.select("case", "pool", c("true_item").alias("item"), F.lit(True).alias("is_true")))
 
 
+def decoy_pools(cases: DataFrame, universe: DataFrame, n: int, seed: int) -> DataFrame:
+    """Decoys from pools given as rows (pool, item): one pool of all items, or the items of each mix."""
+    placed = grouping.numbered_within(universe.select("pool", "item").distinct(), ["pool"], [c("item").asc()], "pos")
+    return draw_decoys(cases, placed, n, seed)
+
+
+def near_decoys(cases: DataFrame, vecs: DataFrame, near: int, n: int, seed: int) -> DataFrame:
+    """cases(case, cur, true_item): decoys drawn from the ``near`` nearest vectors of the true item, which are listed once per item."""
+    asked = vecs.join(cases.select(c("true_item").alias("id")).distinct(), "id", "left_semi")
+    lists = knn_join(asked, vecs, near, exclude_self=True).select(c("q").alias("pool"), c("rank").cast("long").alias("pos"), c("t").alias("item"))
+    return draw_decoys(cases.withColumn("pool", c("true_item")), cut_lineage(lists), n, seed)
+
+
+def pool_fingerprints(pools: DataFrame) -> DataFrame:
+    """(case, size, fingerprint): SHA-256 of a pool's items as sorted lines, whatever their order."""
+    lines = F.array_join(F.array_sort(F.collect_list(c("item").cast("string"))), "\n")  # a pool has a fixed size
+    return pools.groupBy("case").agg(F.count(F.lit(1)).alias("size"), F.sha2(lines, 256).alias("fingerprint"))
+
+
 def grouped_split(df: DataFrame, group: str, ratios=(0.7, 0.15, 0.15), seed: int = 0) -> DataFrame:
     """Whole groups to train, valid and test in order of a seeded hash."""
     groups = df.select(group).distinct().withColumn("__h", hashes.seeded(seed, c(group)))

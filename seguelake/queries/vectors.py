@@ -75,9 +75,23 @@ def _(t):
     return r6(op.crate_overlap(t.vectors, "grp"), ("radius", "q"), ("grp", "n"))
 
 
-DECOYS = f"""{SLOTS}, {PAIRS}, ca AS (SELECT mix * 100 + position AS "case", mix, position, a AS cur, b AS true_item FROM pairs), un AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) AS pos, count(*) OVER () AS size FROM part),
- dr AS (SELECT "case", true_item, j, ({HEX.format("'5|' || \"case\"", 1)} + j * (size // 10) + {HEX.format("'5|' || \"case\" || '|' || j", 1)} % (size // 10)) % size + 1 AS pos FROM ca, (SELECT any_value(size) AS size FROM un) z, range(0, 10) r(j)),
- dc AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY j) AS rn FROM dr JOIN un USING (pos) WHERE item <> true_item), pools AS (SELECT "case", item, false AS is_true FROM dc WHERE rn < 10 UNION ALL SELECT "case", true_item, true FROM ca)"""
+CASES = """ca AS (SELECT mix * 100 + position AS "case", mix, position, a AS cur, b AS true_item FROM pairs)"""
+
+
+def drawn_sql(cases: str, numbered: str, n: int = 10) -> str:
+    """``cases`` ("case", pool, cur, true_item) and ``numbered`` (pool, pos, item) as in draw_decoys, giving ``pools``."""
+    start, jitter = HEX.format("'5|' || \"case\"", 1), HEX.format("'5|' || \"case\" || '|' || j", 1)
+    return f"""sz AS (SELECT pool, count(*) AS size FROM {numbered} GROUP BY 1), st AS (SELECT {cases}.*, size, least({n + 1}, size) AS take FROM {cases} JOIN sz USING (pool)),
+ dr AS (SELECT st.*, j, ({start} + j * (size // take) + {jitter} % (size // take)) % size + 1 AS pos FROM st, range(0, {n + 1}) r(j) WHERE j < take),
+ dc AS (SELECT "case", item, row_number() OVER (PARTITION BY "case" ORDER BY j) AS rn FROM dr JOIN {numbered} USING (pool, pos) WHERE item <> true_item AND item <> cur),
+ pools AS (SELECT "case", item, false AS is_true FROM dc WHERE rn < {n} UNION ALL SELECT "case", true_item, true FROM {cases})"""
+
+
+DECOYS = f"""{SLOTS}, {PAIRS}, {CASES}, cp AS (SELECT *, 0 AS pool FROM ca), un AS (SELECT 0 AS pool, p_partkey AS item, row_number() OVER (ORDER BY p_partkey) AS pos FROM part), {drawn_sql("cp", "un")}"""
+MIX_DECOYS = f"""{SLOTS}, {PAIRS}, {CASES}, cp AS (SELECT *, mix AS pool FROM ca), un AS (SELECT mix AS pool, track AS item, row_number() OVER (PARTITION BY mix ORDER BY track) AS pos FROM (SELECT DISTINCT mix, track FROM slots)), {drawn_sql("cp", "un", 5)}"""
+NEAR_DECOYS = f"""{VU}, {SLOTS}, {PAIRS}, nv AS (SELECT count(*) AS n FROM embeddings), cp AS (SELECT mix * 100 + position AS "case", a % n AS cur, b % n AS true_item, b % n AS pool FROM pairs, nv WHERE a % n <> b % n),
+ un AS (SELECT q.id AS pool, t.id AS item, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, t.v), 12) DESC, t.id) AS pos FROM vu q JOIN vu t ON q.id <> t.id QUALIFY pos <= 100), {drawn_sql("cp", "un")}"""
+PRINTS = """SELECT "case", count(*) AS size, sha256(string_agg(item::VARCHAR, chr(10) ORDER BY item::VARCHAR)) AS fingerprint FROM pools GROUP BY 1"""
 
 
 def choice_cases(t):
@@ -87,7 +101,7 @@ def choice_cases(t):
 
 def pools_of(t):
     universe = t.tracks.select(F.lit(0).alias("pool"), c("track").alias("item"))
-    return op.decoy_pools(choice_cases(t).select("case", F.lit(0).alias("pool"), "true_item"), universe, 10, 5)
+    return op.decoy_pools(choice_cases(t).select("case", F.lit(0).alias("pool"), "cur", "true_item"), universe, 10, 5)
 
 
 @query("decoy_pools", f'WITH {DECOYS} SELECT "case", item, is_true FROM pools')
@@ -95,6 +109,18 @@ def _(t):
     return pools_of(t).select("case", "item", "is_true")
 
 
+@query("decoy_pools_same_mix", f"WITH {MIX_DECOYS} {PRINTS}")
+def _(t):
+    cases = choice_cases(t).select("case", c("mix").alias("pool"), "cur", "true_item")
+    return op.pool_fingerprints(op.decoy_pools(cases, t.plays.select(c("mix").alias("pool"), c("track").alias("item")), 5, 5))
+
+
+@query("decoy_pools_nearest", f"WITH {NEAR_DECOYS} {PRINTS}")
+def _(t):
+    cases = choice_cases(t).select("case", t.vector_of("cur").alias("cur"), t.vector_of("true_item").alias("true_item")).filter("cur <> true_item")
+    return op.pool_fingerprints(op.near_decoys(cases, t.vectors, 100, 10, 5))
+
+
 @query(
     "grouped_split",
     "WITH h AS (SELECT o_orderkey AS mix, o_custkey AS dj, row_number() OVER (ORDER BY sha256('9|' || o_orderkey), o_orderkey) / count(*) OVER () AS s FROM orders) SELECT mix, dj, CASE WHEN s <= 0.7 THEN 'train' WHEN s <= 0.85 THEN 'valid' ELSE 'test' END AS split FROM h",
