@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -325,6 +327,51 @@ def ablation_ladder(cases: DataFrame, case: list[str], truth: Column, rungs: lis
     return out.withColumn("delta", c("median_pct") - F.lag("median_pct").over(w))
 
 
+def exact_assignment(df: DataFrame, test: str, value: str, control: str, decimals: int = 6) -> DataFrame:
+    """(test, n, controls, delta, p): exact one-sided test of treated mean minus control mean over all assignments.
+
+    p is the share of all ways to choose as many controls whose delta is at least the observed
+    one.  Spark counts equal values per test; the ways to reach each (chosen, sum) are then
+    added up value by value, which covers all assignments without listing any.  Values count in
+    units of 10^-decimals; rows without value or flag are left out; delta and p are null without
+    a row on either side.
+    """
+    unit = 10**decimals
+    rows = df.filter(c(value).isNotNull() & c(control).isNotNull()).select(test, F.round(c(value) * unit).cast("long").alias("v"), c(control).cast("int").alias("k"))
+    counts = rows.groupBy(test, "v").agg(F.count(F.lit(1)).alias("m"), F.sum("k").alias("k"))
+    kind = df.schema[test].dataType.simpleString()
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("v")
+        v, m, k = (group[x].to_numpy(np.int64) for x in ("v", "m", "k"))
+        n, chosen = int(m.sum()), int(k.sum())
+        out = {test: [group[test].iloc[0]], "n": [n], "controls": [chosen], "delta": [None], "p": [None]}
+        if 0 < chosen < n:
+            observed, total = int((v * k).sum()), int((v * m).sum())
+            step = int(np.gcd.reduce(v - v[0])) or 1
+            place = (v - v[0]) // step  # sums of places tell sums of values apart, given how many were chosen
+            width = int(np.sort(np.repeat(place, np.minimum(m, chosen)))[-chosen:].sum()) + 1
+            ways = np.zeros((chosen + 1, width))
+            ways[0, 0] = 1.0
+            for at, many in zip(place.tolist(), m.tolist()):
+                grown = np.zeros_like(ways)
+                weight = 1.0
+                for extra in range(min(many, chosen) + 1):
+                    if extra:
+                        weight *= (many - extra + 1) / extra
+                    shift = at * extra
+                    if shift < width:
+                        grown[extra:, shift:] += weight * ways[: chosen + 1 - extra, : width - shift]
+                ways = grown / grown.max()  # only shares matter
+            last = ways[chosen]
+            limit = (observed - chosen * int(v[0])) // step
+            out["p"] = [float(last[: limit + 1].sum() / last.sum())]  # a small control sum is a large delta
+            out["delta"] = [((total - observed) / (n - chosen) - observed / chosen) / unit]
+        return pd.DataFrame(out)
+
+    return counts.groupBy(test).applyInPandas(solve, f"`{test}` {kind}, n long, controls long, delta double, p double")
+
+
 def permutation_test(df: DataFrame, block: str, x: str, y: str, key: str, reps: int, seed: int) -> DataFrame:
     """Correlation of x and y against shuffles of y inside each block; p = (hits + 1) / (reps + 1).
 

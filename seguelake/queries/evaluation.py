@@ -224,6 +224,18 @@ def _(t):
     return r6(out, ("top1", "top5", "median_pct", "delta"), ("step", "rung", "cases"))
 
 
+@query(
+    "exact_assignment_test",
+    f"""WITH RECURSIVE {RATINGS}, v AS (SELECT session, rating AS v, count(*) AS m, row_number() OVER (PARTITION BY session ORDER BY rating) AS i FROM ratings GROUP BY 1, 2), g AS (SELECT session, count(*) AS n, count(*) FILTER (blind) AS controls, sum(rating) FILTER (blind) AS observed, sum(rating) AS total FROM ratings GROUP BY 1),
+ d AS (SELECT session, 0::BIGINT AS i, 0::BIGINT AS chosen, 0::BIGINT AS s, 1.0::DOUBLE AS ways FROM g
+  UNION ALL SELECT d.session, d.i + 1, d.chosen + k, d.s + k * v.v, sum(d.ways * exp(lgamma(v.m + 1) - lgamma(k + 1) - lgamma(v.m - k + 1))) FROM d JOIN v ON v.session = d.session AND v.i = d.i + 1 JOIN g ON g.session = d.session JOIN range(0, 1000) r(k) ON k <= v.m AND d.chosen + k <= g.controls GROUP BY 1, 2, 3, 4),
+ e AS (SELECT d.*, g.* EXCLUDE session FROM d JOIN g USING (session) WHERE chosen = controls AND i = (SELECT max(i) FROM v WHERE v.session = d.session))
+ SELECT session, any_value(n) AS n, any_value(controls) AS controls, round(any_value((total - observed) / (n - controls) - observed / controls), 6) + 0.0 AS delta, round(sum(ways) FILTER (s <= observed) / sum(ways), 6) + 0.0 AS p FROM e GROUP BY session""",
+)
+def _(t):
+    return r6(op.exact_assignment(ratings(t), "session", "rating", "blind"), ("delta", "p"), ("session", "n", "controls"))
+
+
 @query("permutation_test")
 def _(t):
     d = ratings(t).withColumn("key", F.xxhash64("session", "pair", "score", "rating", "comment"))

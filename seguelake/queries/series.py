@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from seguelake.bindings import FRAMES, MIXES, PAIRS, SLOTS, TRACKS
 from seguelake.functions.numeric import rounded
-from seguelake.operators import histories, joins, series as op
+from seguelake.operators import histories, joins, table_functions
+from seguelake.operators import series as op
 from seguelake.operators.filters import qualify_reason
 from seguelake.queries import query
 from seguelake.session import cut_lineage
@@ -91,6 +92,13 @@ def _(t):
     return r6(peak_windows(t), ("peak", "start", "end"), ("track", "rank", "score"))
 
 
+@query("pick_windows", f'WITH {PEAKS} SELECT track, rank, score, round(peak, 6) AS peak, round(start, 6) + 0.0 AS start, round("end", 6) AS "end" FROM win')
+def _(t):
+    peaks = op.local_maxima(t.frames, "track", "t", t.frame_bins, "value", "peak").filter("peak").withColumnRenamed("value", "score")
+    d = table_functions.windows_by_function(peaks, t.frames, "track", "t", "score", 3, 7200.0, 3600.0)
+    return r6(d, ("peak", "start", "end"), ("track", "rank", "score"))
+
+
 @query(
     "window_role",
     f"""WITH {PEAKS}, k AS (SELECT *, CASE WHEN peak/duration < 1.0::DOUBLE/3 THEN 'mix_in' WHEN peak/duration > 2.0::DOUBLE/3 THEN 'mix_out' ELSE 'bridge' END AS kind, greatest(duration - start, 0) * 120 / 60 AS room FROM win),
