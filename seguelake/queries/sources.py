@@ -8,6 +8,7 @@ from seguelake.queries import query
 from seguelake.queries.evaluation import RATINGS, ratings
 from seguelake.queries.pairs import slot_pairs
 from seguelake.session import scratch_path
+from seguelake.sources import catalog
 from seguelake.sources import formats as op
 
 c = F.col
@@ -155,6 +156,48 @@ def _(t):
     return op.write_tables(tables, {"mixes": ["mix"], "tracks": ["track"], "slots": ["mix", "position"]}, links, scratch_path(t.spark, "catalog"))
 
 
+NESTED = f"""{SLOTS}, sz AS (SELECT mix, count(*) AS n FROM slots GROUP BY 1), good AS (SELECT mix, o_custkey AS dj, n FROM sz JOIN orders ON o_orderkey = mix WHERE mix % 50 <> 0), gs AS (SELECT slots.* FROM slots JOIN good USING (mix)),
+ tr AS (SELECT track, min(mix * 1000 + position) AS first FROM gs GROUP BY 1), lone AS (SELECT tr.track, first // 1000 AS mix FROM tr WHERE tr.track % 8 = 0),
+ pf AS (SELECT 'C' || dj AS p FROM good UNION SELECT 'C' || (dj + 1) FROM good WHERE mix % 9 = 0 UNION SELECT 'A' || (track % 30) FROM gs WHERE track % 8 <> 0)"""
+
+
+def nested_albums(t):
+    """One nested row per mix; every fiftieth states a wrong number of tracks."""
+    person = lambda name: F.struct(name.alias("id"), F.concat(F.lit("name "), name).alias("name"))
+    artist = F.concat(F.lit("A"), c("track") % 30)
+    track = F.struct(
+        "position", c("track").alias("song"), F.concat(F.lit("t"), c("track")).alias("title"), (60_000 + c("track") * 10).alias("duration_ms"),
+        F.when(c("track") % 8 != 0, F.array(person(artist))).otherwise(F.array().cast("array<struct<id: string, name: string>>")).alias("artists"),
+    )
+    listed = t.slots().groupBy("mix").agg(F.collect_list(track).alias("tracks"))  # a mix
+    d = t.mixes.join(listed, "mix")
+    lead, guest = person(F.concat(F.lit("C"), c("dj"))), person(F.concat(F.lit("C"), c("dj") + 1))
+    shelf = lambda program, place: F.struct(program.alias("program"), place.alias("position"))
+    main, second = shelf(c("priority"), c("mix") % 5 + 1), shelf(F.concat(F.lit("state "), c("state")), F.lit(1).cast("long"))
+    return d.select(
+        c("mix").alias("album"), F.concat(F.lit("mix "), c("mix")).alias("name"), (F.size("tracks") + F.when(c("mix") % 50 == 0, 1).otherwise(0)).alias("track_count"),
+        F.when(c("mix") % 9 == 0, F.array(lead, guest)).otherwise(F.array(lead)).alias("creators"), F.when(c("mix") % 3 == 0, F.array(main, second)).otherwise(F.array(main)).alias("shelves"), "tracks",
+    )
+
+
+@query(
+    "publish_catalog",
+    f"""WITH {NESTED} SELECT 'metadata' AS "table", 2::BIGINT AS n UNION ALL SELECT 'performers', count(*) FROM pf UNION ALL SELECT 'programs', (SELECT count(DISTINCT o_orderpriority) FROM orders JOIN good ON mix = o_orderkey) + (SELECT count(DISTINCT o_orderstatus) FROM orders JOIN good ON mix = o_orderkey WHERE mix % 3 = 0)
+ UNION ALL SELECT 'mixes', count(*) FROM good UNION ALL SELECT 'mix_programs', count(*) + count(*) FILTER (mix % 3 = 0) FROM good UNION ALL SELECT 'mix_performers', count(*) + count(*) FILTER (mix % 9 = 0) FROM good UNION ALL SELECT 'tracks', count(*) FROM tr
+ UNION ALL SELECT 'track_artists', (SELECT count(*) FROM tr) + (SELECT count(*) FROM lone WHERE mix % 9 = 0) UNION ALL SELECT 'mix_tracks', count(*) FROM gs UNION ALL SELECT 'observed_adjacencies', (SELECT count(*) FROM gs) - (SELECT count(*) FROM good)
+ UNION ALL SELECT 'rejected_items', count(*) FROM sz WHERE mix % 50 = 0 UNION ALL SELECT 'review_items', (SELECT count(*) FROM lone) + (SELECT count(*) FROM good WHERE mix % 9 = 0)""",
+)
+def _(t):
+    return catalog.publish(catalog.catalog_tables(nested_albums(t), "plays"), scratch_path(t.spark, "catalog"))
+
+
+@query("catalog_adjacencies", f"""WITH {NESTED} SELECT 'mix:' || mix AS mix_id, CAST(position AS INTEGER) AS position, 'track:' || track AS from_track_id, 'track:' || nxt AS to_track_id FROM (SELECT *, lead(track) OVER (PARTITION BY mix ORDER BY position) AS nxt FROM gs) WHERE nxt IS NOT NULL""")
+def _(t):
+    path = scratch_path(t.spark, "catalog")
+    catalog.publish(catalog.catalog_tables(nested_albums(t), "plays"), path)
+    return catalog.published(t.spark, path, "observed_adjacencies").select("mix_id", "position", "from_track_id", "to_track_id")
+
+
 @query("write_review_sheets", f"WITH {SLOTS}, {PAIRS} SELECT mix, position, CASE WHEN a % 4 = 0 THEN '''=' || a ELSE 't' || a END AS note FROM pairs")
 def _(t):
     path = scratch_path(t.spark, "sheets")
