@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seguelake import grouping
 from seguelake.functions import text
+from seguelake.session import cut_lineage
 
 c = F.col
 
@@ -230,26 +231,25 @@ def cue_collisions(planned: DataFrame, existing: DataFrame, by: str, tolerance:
     return out.withColumn("resolution", resolution).withColumn("existing", F.coalesce("dup", "on_pad")).drop("dup", "on_pad")
 
 
-def mentions(titles: DataFrame, names: DataFrame, max_words: int, min_chars: int = 7, cap: int = 10) -> DataFrame:
-    """Longest known name in each title on word boundaries; the newest ``cap`` titles per name are reported.
+def mentions(titles: DataFrame, names: DataFrame, min_chars: int = 7) -> DataFrame:
+    """Longest known name in each text on word boundaries, and its place among that name's texts, newest first.
 
-    titles(id, text), names(name).  Word n-grams meet the names in an equi join.
+    titles(id, text), names(name).  Texts and names meet on a name's first two words (its only word
+    where it has one); what meets is then compared in full, so names may be of any length and
+    occur in any number of texts: ranks come from the whole table's order.
     """
+    head = lambda ws: F.array_join(F.slice(ws, 1, 2), " ")
     keys = names.select(c("name"), text.words_key(c("name")).alias("gram")).filter(F.length("gram") + 2 >= min_chars)
-    keys = keys.groupBy("gram").agg(F.min("name").alias("name"))
-    words = titles.select("id", F.split(text.words_key(c("text")), " ").alias("ws"))
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
-            lambda n: F.transform(
-                F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - n + 1)).otherwise(F.array().cast("array<int>")),
-                lambda i: F.array_join(F.slice("ws", i, n), " "),
-            ),
-        )
-    )
-    grams = words.select("id", F.explode(F.array_distinct(spans)).alias("gram"))
-    hits = grams.join(keys, "gram").groupBy("id").agg(F.max_by("name", F.struct(F.length("gram"), "gram")).alias("name"))
-    return grouping.first_rows(hits, ["name"], [c("id").desc()], cap, "rank")
+    keys = cut_lineage(keys.groupBy("gram").agg(F.min("name").alias("name")).withColumn("head", head(F.split("gram", " "))))
+    # written once, so that no expression below splits a text again for each of its words
+    words = cut_lineage(titles.select("id", text.words_key(c("text")).alias("words")).withColumn("ws", F.split("words", " ")))
+    pairs = F.zip_with("ws", F.slice("ws", F.lit(2), F.size("ws")), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    heads = F.array_distinct(F.array_compact(F.concat(pairs, "ws")))
+    found = words.select("id", F.explode(heads).alias("head")).join(keys, "head").select("id", "gram", "name")
+    padded = words.select("id", F.concat(F.lit(" "), c("words"), F.lit(" ")).alias("padded"))
+    sure = found.join(padded, "id").filter(F.contains("padded", F.concat(F.lit(" "), c("gram"), F.lit(" "))))
+    hits = sure.groupBy("id").agg(F.max_by("name", F.struct(F.length("gram"), "gram")).alias("name"))
+    return grouping.numbered_within(hits, ["name"], [c("id").desc()], "rank")
 
 
 def strict_history(mixes: DataFrame, slots: DataFrame, window_days: int) -> DataFrame:

@@ -112,7 +112,7 @@ def _(t):
 
 @query(
     "entity_resolution",
-    """WITH s AS (SELECT p_name AS name, 1 AS pr FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT upper(replace(p_name, ' ', '-')), 2 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT c_mktsegment, 3 FROM customer),
+    """WITH s AS (SELECT p_name AS name, 1 AS pr FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT upper(replace(p_name, ' ', '-')), 2 FROM part UNION ALL SELECT c_mktsegment, 3 FROM customer),
  k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM s), e AS (SELECT key, arg_min(name, (pr, name)) AS spelling, count(DISTINCT pr) AS n_sources FROM k GROUP BY key)
  SELECT *, row_number() OVER (ORDER BY key) AS entity_id FROM e""",
 )
@@ -123,14 +123,14 @@ def _(t):
 def entity_names(t):
     part = t.raw("part")
     a = part.filter(c("p_partkey") % 2 == 0).select(c("p_name").alias("name"), F.lit(1).alias("pr"))
-    b = part.filter(c("p_partkey") % 3 == 0).select(F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("name"), F.lit(2).alias("pr"))
+    b = part.select(F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("name"), F.lit(2).alias("pr"))
     d = t.raw("customer").select(c("c_mktsegment").alias("name"), F.lit(3).alias("pr"))
     return a.unionByName(b).unionByName(d)
 
 
 @query(
     "entity_aliases",
-    """WITH s AS (SELECT p_name AS name, 1 AS pr FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT upper(replace(p_name, ' ', '-')), 2 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT c_mktsegment, 3 FROM customer),
+    """WITH s AS (SELECT p_name AS name, 1 AS pr FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT upper(replace(p_name, ' ', '-')), 2 FROM part UNION ALL SELECT c_mktsegment, 3 FROM customer),
  k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM s), e AS (SELECT key, arg_min(name, (pr, name)) AS spelling FROM k GROUP BY key),
  n AS (SELECT *, row_number() OVER (ORDER BY key) AS entity_id FROM e) SELECT DISTINCT entity_id, name AS alias FROM k JOIN n USING (key) WHERE name <> spelling""",
 )
@@ -158,10 +158,10 @@ def _(t):
 @query(
     "segment_fractions",
     f"""WITH {FRAMES}, s AS (SELECT track, label AS kind, value AS len FROM frames) SELECT track, round(ln(1.0::DOUBLE + count(*)), 6) AS log_count,
- round(sum(CASE WHEN kind = 'click' THEN len ELSE 0 END) / sum(len), 6) AS click, round(sum(CASE WHEN kind = 'view' THEN len ELSE 0 END) / sum(len), 6) AS view FROM s WHERE kind IN ('click', 'view') GROUP BY track""",
+ round(sum(CASE WHEN kind = 'click' THEN len ELSE 0 END) / sum(len), 6) AS click, round(sum(CASE WHEN kind = 'view' THEN len ELSE 0 END) / sum(len), 6) AS view FROM s GROUP BY track""",
 )
 def _(t):
-    d = t.frames.filter(c("label").isin("click", "view")).select("track", c("label").alias("kind"), F.lit(0.0).alias("start"), c("value").alias("end"))
+    d = t.frames.select("track", c("label").alias("kind"), F.lit(0.0).alias("start"), c("value").alias("end"))
     out = op.segment_fractions(d, "track", ["click", "view"])
     return out.select("track", *[rounded(c(x)).alias(x) for x in ("log_count", "click", "view")])
 

@@ -299,12 +299,12 @@ def _(t):
 
 @query(
     "library_wide_rank",
-    f"""WITH {SLOTS}, {TRACKS}, {PAIRS}, k AS (SELECT p.mix AS "case", x.bpm AS target, y.bpm AS truth FROM pairs p JOIN tracks x ON x.track = a JOIN tracks y ON y.track = b WHERE position = 1), h AS (SELECT bpm, count(*) AS n FROM tracks GROUP BY 1)
+    f"""WITH {SLOTS}, {TRACKS}, {PAIRS}, k AS (SELECT p.mix * 100 + p.position AS "case", x.bpm AS target, y.bpm AS truth FROM pairs p JOIN tracks x ON x.track = a JOIN tracks y ON y.track = b), h AS (SELECT bpm, count(*) AS n FROM tracks GROUP BY 1)
  SELECT "case", CAST(coalesce(sum(n), 0) AS BIGINT) AS better, round(coalesce(sum(n), 0) / (SELECT count(*) FROM tracks), 6) + 0.0 AS share FROM k LEFT JOIN h ON abs(h.bpm - target) < abs(truth - target) GROUP BY 1""",
 )
 def _(t):
-    d = with_track_features(slot_pairs(t).filter(c("position") == 1), t.tracks, ["bpm"])
-    out = op.library_wide_rank(d.select(c("mix").alias("case"), c("bpm_a").alias("target"), c("bpm_b").alias("truth")), t.tracks, "bpm", "truth")
+    d = with_track_features(slot_pairs(t), t.tracks, ["bpm"])
+    out = op.library_wide_rank(d.select((c("mix") * 100 + c("position")).alias("case"), c("bpm_a").alias("target"), c("bpm_b").alias("truth")), t.tracks, "bpm", "truth")
     return out.select("case", "better", rounded(c("share")).alias("share"))
 
 

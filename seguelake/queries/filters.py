@@ -135,7 +135,7 @@ def _(t):
 
 @query(
     "placeholder_title",
-    r"""WITH d AS (SELECT doc_id, lang, source, CASE doc_id % 4 WHEN 0 THEN 'ID' WHEN 1 THEN '-- ?' WHEN 2 THEN 'Unreleased ID' ELSE substr(text, 1, 20) END AS title FROM documents),
+    r"""WITH d AS (SELECT doc_id, lang, source, CASE doc_id % 4 WHEN 0 THEN 'ID' WHEN 1 THEN '-- ?' WHEN 2 THEN 'Unreleased ID' ELSE text END AS title FROM documents),
  k AS (SELECT *, regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g') AS w FROM d)
  SELECT doc_id, len(list_filter(string_split(trim(w), ' '), lambda x: x <> '' AND x NOT IN ('id', 'unreleased', 'unknown', 'untitled', 'track'))) = 0 AS placeholder,
  CASE WHEN len(list_filter(string_split(trim(w), ' '), lambda x: x <> '' AND x NOT IN ('id', 'unreleased', 'unknown', 'untitled', 'track'))) = 0
@@ -144,7 +144,7 @@ def _(t):
 def _(t):
     title = (
         F.when(c("doc_id") % 4 == 0, "ID").when(c("doc_id") % 4 == 1, "-- ?").when(c("doc_id") % 4 == 2, "Unreleased ID")
-        .otherwise(F.substring("text", 1, 20))
+        .otherwise(c("text"))
     )
     d = t.documents.withColumn("title", title)
     return d.select(

@@ -50,7 +50,7 @@ def _(t):
 @query(
     "exact_then_unique_fallback",
     """WITH l AS (SELECT p_partkey AS id, p_name || '/' || p_size AS path, p_name || p_brand AS name FROM part),
- r AS (SELECT p_partkey AS rid, p_name || '/' || (p_size + p_partkey % 2 * 100) AS path, p_name || p_brand AS name FROM part WHERE p_partkey % 3 = 0),
+ r AS (SELECT p_partkey AS rid, p_name || '/' || (p_size + p_partkey % 2 * 100) AS path, p_name || p_brand AS name FROM part),
  e AS (SELECT path, max(rid) AS e FROM r GROUP BY path), u AS (SELECT name, min(rid) AS u FROM r GROUP BY name HAVING count(DISTINCT rid) = 1)
  SELECT id, CASE WHEN e IS NOT NULL THEN 'exact' WHEN u IS NOT NULL THEN 'unique_fallback' ELSE 'unmatched' END AS method, coalesce(e, u) AS match
  FROM l LEFT JOIN e USING (path) LEFT JOIN u USING (name)""",
@@ -60,14 +60,14 @@ def _(t):
     name = F.concat("p_name", "p_brand").alias("name")
     left = part.select(c("p_partkey").alias("id"), F.concat_ws("/", "p_name", "p_size").alias("path"), name)
     size = c("p_size") + c("p_partkey") % 2 * 100
-    right = part.filter(c("p_partkey") % 3 == 0).select(c("p_partkey").alias("rid"), F.concat_ws("/", "p_name", size).alias("path"), name)
+    right = part.select(c("p_partkey").alias("rid"), F.concat_ws("/", "p_name", size).alias("path"), name)
     return op.exact_then_unique(left, right, "path", "name", "rid").select("id", "method", "match")
 
 
 @query(
     "link_with_confidence",
     r"""WITH u AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) AS cu, split_part(url, '/', 4) || (page_id // 4) AS artist, page_id % 3 AS year FROM pages),
- s AS (SELECT page_id AS set_id, CASE WHEN page_id % 8 = 0 THEN cu ELSE 'x' || page_id END AS cu, artist, CAST(year AS VARCHAR) AS year FROM u WHERE page_id % 4 = 0),
+ s AS (SELECT page_id AS set_id, CASE WHEN page_id % 8 = 0 THEN cu ELSE 'x' || page_id END AS cu, artist, CAST(year AS VARCHAR) AS year FROM u),
  bu AS (SELECT cu, max(set_id) AS su FROM s GROUP BY cu), bw AS (SELECT artist, year, min(set_id) AS sw FROM s GROUP BY 1, 2 HAVING count(*) = 1)
  SELECT page_id AS list_id, CASE WHEN su IS NOT NULL THEN 'url' WHEN u.artist LIKE '%3' THEN 'rejected' WHEN sw IS NOT NULL THEN 'artist_year' ELSE 'new' END AS tier,
  CASE WHEN su IS NOT NULL THEN su WHEN u.artist LIKE '%3' THEN NULL ELSE sw END AS set_id
@@ -77,7 +77,7 @@ def _(t):
     pages = t.raw("pages")
     artist = F.concat(F.split_part("url", F.lit("/"), F.lit(4)), F.floor(c("page_id") / 4))
     lists = pages.select(c("page_id").alias("list_id"), "url", artist.alias("artist"), (c("page_id") % 3).cast("string").alias("year"))
-    sets = lists.filter(c("list_id") % 4 == 0).select(
+    sets = lists.select(
         c("list_id").alias("set_id"),
         F.when(c("list_id") % 8 == 0, F.concat(F.upper(op.clean_url(c("url"))), F.lit("/?utm=1"))).otherwise(F.concat(F.lit("x"), c("list_id"))).alias("url"),
         "artist",
@@ -127,13 +127,14 @@ def _(t):
     return op.fuzzy_containment(named, listed, "conv_id", 0.2).withColumn("score", rounded(c("score")))
 
 
-OCC = """l AS (SELECT l_orderkey AS mix, l_partkey AS track, l_suppkey AS venue, l_extendedprice AS price, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_extendedprice) AS k FROM lineitem WHERE l_linenumber < 6),
- r AS (SELECT l_orderkey AS mix, l_partkey AS track, l_quantity AS qty, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_extendedprice, l_suppkey, l_linenumber) AS k FROM lineitem WHERE l_returnflag <> 'N')"""
+OCC = """l AS (SELECT l_orderkey AS mix, l_partkey AS track, l_suppkey AS venue, l_extendedprice AS price, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_extendedprice) AS k FROM lineitem),
+ p AS (SELECT *, l_partkey + CASE WHEN l_quantity % 10 = 0 THEN 1 ELSE 0 END AS named FROM lineitem), r AS (SELECT l_orderkey AS mix, named AS track, l_quantity AS qty, row_number() OVER (PARTITION BY l_orderkey, named ORDER BY l_extendedprice, l_suppkey, l_linenumber) AS k FROM p)"""
 
 
 def occurrences(t):
-    slots = t.plays.filter(c("line") < 6).select("mix", "track", "line", "venue", "price")
-    reports = t.plays.filter(c("flag") != "N").select("mix", "track", c("price").alias("rp"), c("venue").alias("rv"), c("line").alias("rl"), "qty")
+    slots = t.plays.select("mix", "track", "line", "venue", "price")
+    # some reports name another track than the one played
+    reports = t.plays.select("mix", (c("track") + F.when(c("qty") % 10 == 0, 1).otherwise(0)).alias("track"), c("price").alias("rp"), c("venue").alias("rv"), c("line").alias("rl"), "qty")
     return op.occurrence_join(slots, reports, ["mix", "track"], ["line", "venue", "price"], ["rp", "rv", "rl"], [c("line")], [F.floor(c("rp"))])
 
 
@@ -245,14 +246,14 @@ def _(t):
 
 @query(
     "tolerance_match",
-    f"""WITH {FRAMES}, p AS (SELECT event_id AS pid, track, t, k % 8 AS pad FROM frames WHERE label = 'view'), x AS (SELECT event_id AS eid, track, t, k % 8 AS pad FROM frames WHERE label = 'error' AND k % 5 = 0),
+    f"""WITH {FRAMES}, p AS (SELECT event_id AS pid, track, t, k % 8 AS pad FROM frames WHERE label = 'view'), x AS (SELECT event_id AS eid, track, t, k % 8 AS pad FROM frames WHERE label = 'error'),
  d AS (SELECT pid, min(eid) AS dup FROM p JOIN x ON x.track = p.track AND x.t BETWEEN p.t - 2000 AND p.t + 2000 GROUP BY pid), q AS (SELECT track, pad, min(eid) AS on_pad FROM x GROUP BY 1, 2)
  SELECT pid, CASE WHEN dup IS NOT NULL THEN 'deduped' WHEN on_pad IS NOT NULL THEN 'relocated' ELSE 'placed' END AS resolution, coalesce(dup, on_pad) AS existing FROM p LEFT JOIN d USING (pid) LEFT JOIN q USING (track, pad)""",
 )
 def _(t):
     pad = (c("k") % 8).alias("pad")
     planned = t.frames.filter(c("label") == "view").select(c("event_id").alias("pid"), "track", "t", pad)
-    existing = t.frames.filter((c("label") == "error") & (c("k") % 5 == 0)).select(c("event_id").alias("eid"), "track", "t", pad)
+    existing = t.frames.filter(c("label") == "error").select(c("event_id").alias("eid"), "track", "t", pad)
     return op.cue_collisions(planned, existing, "track", 2000.0, "merge").select("pid", "resolution", "existing")
 
 
@@ -261,14 +262,12 @@ WORDS = r"string_split(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9
 
 @query(
     "mention_match",
-    f"""WITH n AS (SELECT DISTINCT array_to_string(list_slice({WORDS}, 1, 2), ' ') AS gram FROM benchmark), k AS (SELECT gram FROM n WHERE length(gram) >= 5),
- w AS (SELECT doc_id AS id, {WORDS} AS ws FROM documents), g AS (SELECT DISTINCT id, array_to_string(list_slice(ws, i, i + 1), ' ') AS gram FROM w, unnest(range(1, len(ws))) r(i)),
- h AS (SELECT id, arg_max(gram, (length(gram), gram)) AS name FROM g JOIN k USING (gram) GROUP BY id),
- r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id DESC) AS rn FROM h) SELECT id, name, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 10""",
+    f"""WITH k AS (SELECT gram, min(text) AS name, len(string_split(gram, ' ')) AS n FROM (SELECT text, array_to_string({WORDS}, ' ') AS gram FROM benchmark) WHERE length(gram) >= 5 GROUP BY 1),
+ w AS (SELECT doc_id AS id, ' ' || array_to_string({WORDS}, ' ') || ' ' AS words FROM documents), h AS (SELECT id, arg_max(name, (length(gram), gram)) AS name FROM w JOIN k ON contains(words, ' ' || gram || ' ') GROUP BY id)
+ SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id DESC) AS rank FROM h""",
 )
 def _(t):
-    names = t.raw("benchmark").select(F.array_join(F.slice(F.split(op.text.words_key(c("text")), " "), 1, 2), " ").alias("name"))
-    return op.mentions(t.documents.select(c("doc_id").alias("id"), "text"), names, 2).select("id", "name", "rank")
+    return op.mentions(t.documents.select(c("doc_id").alias("id"), "text"), t.raw("benchmark").select(c("text").alias("name"))).select("id", "name", "rank")
 
 
 @query(
@@ -326,12 +325,12 @@ def _(t):
 
 @query(
     "handle_resolution",
-    """WITH a AS (SELECT DISTINCT p_name AS artist, regexp_replace(p_name, '[^a-z0-9]+', '', 'g') AS key FROM part), p AS (SELECT p_partkey AS o, regexp_replace(p_name, '[^a-z0-9]+', '', 'g') AS key, p_size % 4 AS uploads FROM part WHERE p_partkey % 5 = 1)
+    """WITH a AS (SELECT DISTINCT p_name AS artist, regexp_replace(p_name, '[^a-z0-9]+', '', 'g') AS key FROM part), p AS (SELECT p_partkey AS o, regexp_replace(p_name, '[^a-z0-9]+', '', 'g') AS key, p_size % 4 AS uploads FROM part)
  SELECT artist, 'user_' || arg_min(o, o) AS handle, CASE WHEN arg_min(uploads, o) >= 2 THEN 'confirmed' ELSE 'unsure' END AS certainty FROM a JOIN p USING (key) WHERE length(key) >= 5 GROUP BY artist""",
 )
 def _(t):
     part = t.raw("part")
-    profiles = part.filter(c("p_partkey") % 5 == 1).select(
+    profiles = part.select(
         c("p_partkey").alias("order"),
         F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"),
         F.concat(F.lit("user_"), c("p_partkey")).alias("handle"),
