@@ -260,7 +260,7 @@ def paired_loss_gate(losses: DataFrame, a: str, b: str, z: float = 1.64485) -> D
 
 
 def split_audit(rows: DataFrame, split: str, target: str, item: str, names: list[str]) -> DataFrame:
-    """Total variation between target distributions and shared items, for each pair of splits."""
+    """Total variation between target distributions and shared items, for each pair of splits; null where a split is empty."""
     cells = rows.groupBy(split, target).agg(F.count(F.lit(1)).alias("n"))
     wide = cells.groupBy(target).pivot(split, names).agg(F.sum("n")).na.fill(0)
     sizes = wide.agg(*[F.sum(s).alias(s) for s in names])
@@ -269,10 +269,10 @@ def split_audit(rows: DataFrame, split: str, target: str, item: str, names: list
     out = None
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            tv = wide.withColumn("t", total).agg((F.sum(F.abs(c(a) / c(f"t.{a}") - c(b) / c(f"t.{b}"))) / 2).alias("tv"))
+            tv = wide.withColumn("t", total).agg((F.sum(F.abs(F.try_divide(c(a), c(f"t.{a}")) - F.try_divide(c(b), c(f"t.{b}")))) / 2).alias("tv"))
             shared = members.agg(F.sum(c(a) * c(b)).alias("s"), F.least(F.sum(a), F.sum(b)).alias("m")).select(F.struct("s", "m"))
             row = tv.withColumn("x", shared.scalar()).select(
-                F.lit(a).alias("left"), F.lit(b).alias("right"), "tv", c("x.s").alias("shared"), (c("x.s") / c("x.m")).alias("shared_share")
+                F.lit(a).alias("left"), F.lit(b).alias("right"), "tv", c("x.s").alias("shared"), F.try_divide("x.s", "x.m").alias("shared_share")
             )
             out = row if out is None else out.unionByName(row)
     return out

@@ -348,7 +348,7 @@ def sequence_guardrails(steps: DataFrame, by: str, order: str, bins, arc: Column
     base = d.groupBy(by).agg(
         F.avg("risk").alias("risk"),
         F.max_by((c("risk") >= 0.68) & (c("__prev") >= 0.68), order).alias("two"),
-        ((F.max("bpm") - F.min("bpm")) / F.min_by("bpm", order)).alias("span"),
+        F.try_divide(F.max("bpm") - F.min("bpm"), F.min_by("bpm", order)).alias("span"),
         F.count(F.lit(1)).alias("n"),
     )
     runs = streaks(steps, by, order, bins, "region")

@@ -372,11 +372,13 @@ def snowball(edges: DataFrame, seeds: DataFrame, breadth: int, depth: int, cap:
     Each level is one join of the frontier with the edges; ``cap`` bounds the whole graph.
     """
     low = lambda x: F.lower(F.trim(x))
-    best = grouping.first_rows(edges.filter(low(c("src")) != low(c("dst"))), ["src"], [c("match").desc(), "dst"], breadth, "r")
+    # spellings of one name share one breadth; a target counts once, at its best match
+    links = edges.filter(low(c("src")) != low(c("dst"))).groupBy(low(c("src")).alias("from"), low(c("dst")).alias("to")).agg(F.max("match").alias("match"), F.min_by("dst", F.struct(-c("match"), c("dst"))).alias("dst"))
+    best = grouping.first_rows(links, ["from"], [c("match").desc(), "to"], breadth, "r")
     seen = cut_lineage(seeds.select(low(c("name")).alias("key"), "name", F.lit(0).alias("level")).dropDuplicates(["key"]))
     frontier, size = seen, seen.count()
     for level in range(1, depth + 1):
-        hop = frontier.select("key").join(best.withColumn("key", low(c("src"))), "key")
+        hop = frontier.select("key").join(best.withColumnRenamed("from", "key"), "key")
         fresh = hop.select(low(c("dst")).alias("key"), c("dst").alias("name"), "match").join(seen.select("key"), "key", "left_anti")
         fresh = fresh.groupBy("key").agg(F.min_by("name", F.struct(-c("match"), c("name"))).alias("name"), F.max("match").alias("match"))
         fresh = cut_lineage(fresh.orderBy(c("match").desc(), "key").limit(cap - size).select("key", "name", F.lit(level).alias("level")))
