@@ -104,6 +104,29 @@ def rating_sessions(ratings: DataFrame, min_rated: int = 30) -> DataFrame:
     return out.withColumn("complete", c("rated") >= min_rated)
 
 
+def rating_histogram(ratings: DataFrame) -> DataFrame:
+    """(session, rating, n) per session, and over all sessions with a null session."""
+    d = ratings.filter(c("score").isNotNull() & c("rating").isNotNull())
+    per = d.groupBy("session", "rating").agg(F.count(F.lit(1)).alias("n"))
+    return per.unionByName(per.groupBy("rating").agg(F.sum("n").alias("n")).select(F.lit(None).cast(per.schema["session"].dataType).alias("session"), "rating", "n"))
+
+
+def rating_benchmark(ratings: DataFrame, min_sessions: int = 5, min_rated: int = 30) -> DataFrame:
+    """One row over all sessions: counts, means, correlations, how many complete sessions are still wanted, and whether the ratings suffice for tuning."""
+    d = ratings.filter(c("score").isNotNull() & c("rating").isNotNull())
+    sizes = d.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    sessions = sizes.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(c("n") >= min_rated).alias("complete"))
+    whole = d.agg(
+        F.count(F.lit(1)).alias("rated"), F.count_if(F.coalesce("comment", F.lit("")) != "").alias("comments"), F.avg("score").alias("mean_score"), F.avg("rating").alias("mean_rating"),
+        F.count_if((c("score") >= 0.7) & (c("rating") <= 2)).alias("false_positives"),
+    )
+    one = lambda df: df.select(F.struct("*")).scalar()
+    correlated = rank_correlations(d.withColumn("all", F.lit(1)), ["all"], "score", "rating").select("r", "rho", "tau")
+    out = whole.withColumn("s", one(sessions)).withColumn("x", one(correlated)).select("*", "s.*", "x.*").drop("s", "x")
+    wanted = F.greatest(F.lit(0).cast("long"), F.lit(min_sessions).cast("long") - c("complete"))
+    return out.withColumn("wanted_sessions", wanted).withColumn("ready", wanted == 0)
+
+
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Chance-corrected agreement over nominal labels; null when undefined."""
     cells = df.groupBy(c(a).alias("a"), c(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))

@@ -71,6 +71,21 @@ def _(t):
     return r6(out, names, ("session", "rated", "comments", "blind", "false_positives", "duplicates", "complete"))
 
 
+@query("rating_histogram", f"WITH {RATINGS} SELECT session, rating, count(*) AS n FROM ratings GROUP BY 1, 2 UNION ALL SELECT NULL, rating, count(*) FROM ratings GROUP BY 2")
+def _(t):
+    return op.rating_histogram(ratings(t))
+
+
+@query(
+    "rating_benchmark",
+    f"""WITH {RATINGS.replace("doc_id % 4 AS session", "0 AS session")}, {TAU}, z AS (SELECT count(*) AS sessions, count(*) FILTER (n >= 30) AS complete FROM (SELECT doc_id % 4 AS session, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1)),
+ b AS (SELECT count(*) AS rated, count(*) FILTER (comment <> '') AS comments, round(avg(score), 6) AS mean_score, round(avg(rating), 6) AS mean_rating, count(*) FILTER (score >= 0.7 AND rating <= 2) AS false_positives FROM ratings)
+ SELECT b.*, sessions, complete, round(r, 6) + 0.0 AS r, round(rho, 6) + 0.0 AS rho, round(tau, 6) + 0.0 AS tau, greatest(0, 5 - complete) AS wanted_sessions, complete >= 5 AS ready FROM b, z, rc, kt""",
+)
+def _(t):
+    return r6(op.rating_benchmark(ratings(t)), ("mean_score", "mean_rating", "r", "rho", "tau"), ("rated", "comments", "false_positives", "sessions", "complete", "wanted_sessions", "ready"))
+
+
 @query(
     "cohen_kappa",
     """WITH p AS (SELECT l_returnflag AS a, CASE WHEN l_quantity > 30 THEN 'A' WHEN l_discount > 0.05 THEN 'N' ELSE 'R' END AS b FROM lineitem), n AS (SELECT count(*)::DOUBLE AS n, sum((a = b)::INT)::DOUBLE AS s FROM p),
