@@ -223,21 +223,23 @@ def choose_k(vecs: DataFrame, vec: str, ks: range, seed: int) -> DataFrame:
     return vecs.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
-def draw_decoys(cases: DataFrame, numbered: DataFrame, n: int, seed: int) -> DataFrame:
-    """cases(case, pool, cur, true_item), numbered(pool, pos, item): the true item and up to n - 1 others of its pool, never the current one.
+def draw_decoys(cases: DataFrame, numbered: DataFrame, n: int, seed: int, spare: int = 1, excluded: DataFrame | None = None) -> DataFrame:
+    """cases(case, pool, cur, true_item), numbered(pool, pos, item): the true item and up to n - 1 others of its pool, never the current one nor those in excluded(case, item).
 
-    A pool is cut into n + 1 strata from a hashed start and a hash picks one member of
-    each; what is left of the current and the true item makes up the decoys.  Pools of up
-    to n + 1 members are taken whole.  A case meets n + 1 places, not its pool.
+    A pool is cut into n + ``spare`` strata from a hashed start and a hash picks one member of
+    each; the first n - 1 that are neither current, true nor excluded are the decoys.  Smaller pools are
+    taken whole.  A case meets n + ``spare`` places, not its pool.
     """
     sizes = numbered.groupBy("pool").agg(F.count(F.lit(1)).alias("size"))
-    d = cases.join(sizes, "pool").withColumn("take", F.least(F.lit(n + 1).cast("long"), c("size")))
+    d = cases.join(sizes, "pool").withColumn("take", F.least(F.lit(n + spare).cast("long"), c("size")))
     hex_int = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
     d = d.withColumn("start", hex_int(hashes.seeded(seed, c("case")), 1)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), c("take") - 1)))
     stride = F.floor(c("size") / c("take"))
     jitter = hex_int(hashes.seeded(seed, c("case"), c("j")), 1) % stride
     drawn = d.withColumn("pos", (c("start") + c("j") * stride + jitter) % c("size") + 1).join(numbered, ["pool", "pos"])
     decoys = drawn.filter((c("item") != c("true_item")) & (c("item") != c("cur"))).select("case", "pool", "item", "j")
+    if excluded is not None:
+        decoys = decoys.join(excluded.select("case", "item").distinct(), ["case", "item"], "left_anti")
     kept = grouping.first_rows(decoys, ["case"], ["j"], n - 1).select("case", "pool", "item", F.lit(False).alias("is_true"))
     return kept.unionByName(cases.select("case", "pool", c("true_item").alias("item"), F.lit(True).alias("is_true")))
 
@@ -248,11 +250,11 @@ def decoy_pools(cases: DataFrame, universe: DataFrame, n: int, seed: int) -> Dat
     return draw_decoys(cases, placed, n, seed)
 
 
-def near_decoys(cases: DataFrame, vecs: DataFrame, near: int, n: int, seed: int) -> DataFrame:
-    """cases(case, cur, true_item): decoys drawn from the ``near`` nearest vectors of the true item, which are listed once per item."""
-    asked = vecs.join(cases.select(c("true_item").alias("id")).distinct(), "id", "left_semi")
+def near_decoys(cases: DataFrame, vecs: DataFrame, history: DataFrame, near: int, n: int, seed: int) -> DataFrame:
+    """cases(case, cur, true_item), history(case, item): decoys drawn from the ``near`` nearest vectors of the current item, which are listed once per item; earlier items stay out."""
+    asked = vecs.join(cases.select(c("cur").alias("id")).distinct(), "id", "left_semi")
     lists = knn_join(asked, vecs, near, exclude_self=True).select(c("q").alias("pool"), c("rank").cast("long").alias("pos"), c("t").alias("item"))
-    return draw_decoys(cases.withColumn("pool", c("true_item")), cut_lineage(lists), n, seed)
+    return draw_decoys(cases.withColumn("pool", c("cur")), cut_lineage(lists), n, seed, n, history)
 
 
 def pool_fingerprints(pools: DataFrame) -> DataFrame:

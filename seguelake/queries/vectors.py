@@ -78,19 +78,19 @@ def _(t):
 CASES = """ca AS (SELECT mix * 100 + position AS "case", mix, position, a AS cur, b AS true_item FROM pairs)"""
 
 
-def drawn_sql(cases: str, numbered: str, n: int = 10) -> str:
+def drawn_sql(cases: str, numbered: str, n: int = 10, spare: int = 1, kept: str = "true") -> str:
     """``cases`` ("case", pool, cur, true_item) and ``numbered`` (pool, pos, item) as in draw_decoys, giving ``pools``."""
     start, jitter = HEX.format("'5|' || \"case\"", 1), HEX.format("'5|' || \"case\" || '|' || j", 1)
-    return f"""sz AS (SELECT pool, count(*) AS size FROM {numbered} GROUP BY 1), st AS (SELECT {cases}.*, size, least({n + 1}, size) AS take FROM {cases} JOIN sz USING (pool)),
- dr AS (SELECT st.*, j, ({start} + j * (size // take) + {jitter} % (size // take)) % size + 1 AS pos FROM st, range(0, {n + 1}) r(j) WHERE j < take),
- dc AS (SELECT "case", item, row_number() OVER (PARTITION BY "case" ORDER BY j) AS rn FROM dr JOIN {numbered} USING (pool, pos) WHERE item <> true_item AND item <> cur),
+    return f"""sz AS (SELECT pool, count(*) AS size FROM {numbered} GROUP BY 1), st AS (SELECT {cases}.*, size, least({n + spare}, size) AS take FROM {cases} JOIN sz USING (pool)),
+ dr AS (SELECT st.*, j, ({start} + j * (size // take) + {jitter} % (size // take)) % size + 1 AS pos FROM st, range(0, {n + spare}) r(j) WHERE j < take),
+ dc AS (SELECT "case", item, row_number() OVER (PARTITION BY "case" ORDER BY j) AS rn FROM dr JOIN {numbered} USING (pool, pos) WHERE item <> true_item AND item <> cur AND {kept}),
  pools AS (SELECT "case", item, false AS is_true FROM dc WHERE rn < {n} UNION ALL SELECT "case", true_item, true FROM {cases})"""
 
 
 DECOYS = f"""{SLOTS}, {PAIRS}, {CASES}, cp AS (SELECT *, 0 AS pool FROM ca), un AS (SELECT 0 AS pool, p_partkey AS item, row_number() OVER (ORDER BY p_partkey) AS pos FROM part), {drawn_sql("cp", "un")}"""
 MIX_DECOYS = f"""{SLOTS}, {PAIRS}, {CASES}, cp AS (SELECT *, mix AS pool FROM ca), un AS (SELECT mix AS pool, track AS item, row_number() OVER (PARTITION BY mix ORDER BY track) AS pos FROM (SELECT DISTINCT mix, track FROM slots)), {drawn_sql("cp", "un", 5)}"""
-NEAR_DECOYS = f"""{VU}, {SLOTS}, {PAIRS}, nv AS (SELECT count(*) AS n FROM embeddings), cp AS (SELECT mix * 100 + position AS "case", a % n AS cur, b % n AS true_item, b % n AS pool FROM pairs, nv WHERE a % n <> b % n),
- un AS (SELECT q.id AS pool, t.id AS item, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, t.v), 12) DESC, t.id) AS pos FROM vu q JOIN vu t ON q.id <> t.id QUALIFY pos <= 100), {drawn_sql("cp", "un")}"""
+NEAR_DECOYS = f"""{VU}, {SLOTS}, {PAIRS}, nv AS (SELECT count(*) AS n FROM embeddings), cp AS (SELECT mix * 100 + position AS "case", a % n AS cur, b % n AS true_item, a % n AS pool FROM pairs, nv WHERE a % n <> b % n), hs AS (SELECT DISTINCT p.mix * 100 + p.position AS hc, s.track % n AS hi FROM pairs p JOIN slots s ON s.mix = p.mix AND s.position < p.position, nv),
+ un AS (SELECT q.id AS pool, t.id AS item, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, t.v), 12) DESC, t.id) AS pos FROM vu q JOIN vu t ON q.id <> t.id QUALIFY pos <= 100), {drawn_sql("cp", "un", 10, 10, '("case", item) NOT IN (SELECT (hc, hi) FROM hs)')}"""
 PRINTS = """SELECT "case", count(*) AS size, sha256(string_agg(item::VARCHAR, chr(10) ORDER BY item::VARCHAR)) AS fingerprint FROM pools GROUP BY 1"""
 
 
@@ -118,7 +118,9 @@ def _(t):
 @query("decoy_pools_nearest", f"WITH {NEAR_DECOYS} {PRINTS}")
 def _(t):
     cases = choice_cases(t).select("case", t.vector_of("cur").alias("cur"), t.vector_of("true_item").alias("true_item")).filter("cur <> true_item")
-    return op.pool_fingerprints(op.near_decoys(cases, t.vectors, 100, 10, 5))
+    earlier = t.slots().select("mix", c("position").alias("at"), t.vector_of("track").alias("item"))
+    history = choice_cases(t).select("case", "mix", "position").join(earlier, "mix").filter("at < position").select("case", "item")
+    return op.pool_fingerprints(op.near_decoys(cases, t.vectors, history, 100, 10, 5))
 
 
 @query(
