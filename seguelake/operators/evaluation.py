@@ -316,6 +316,20 @@ def loss_shares(losses: DataFrame, by: str) -> DataFrame:
     return w.filter(l0 > 0).select(by, *[v.alias(n) for n, v in parts.items()], F.array_join(F.array_compact(F.array(*flags)), ",").alias("flags"))
 
 
+def joint_losses(selection: DataFrame, ordering: DataFrame, by: str) -> DataFrame:
+    """selection and ordering (by, model, loss, universe): sums per model, for groups whose two losses come from one universe.
+
+    A group stays out if its universes differ or a model is missing on either side; ``joint`` and
+    ``refused`` groups are told apart by the column ``reason``.
+    """
+    side = lambda df, name: df.select(by, "model", c("loss").alias(name), c("universe").alias(f"{name}_universe"))
+    both = side(selection, "selection").join(side(ordering, "ordering"), [by, "model"], "full")
+    gaps = F.count_if(c("selection").isNull() | c("ordering").isNull())
+    worlds = F.size(F.array_distinct(F.flatten(F.array(F.collect_set("selection_universe"), F.collect_set("ordering_universe")))))  # five models a group
+    state = both.groupBy(by).agg(F.when(gaps > 0, "missing_model").when(worlds > 1, "other_universe").alias("reason"))
+    return both.join(state, by).select(by, "model", F.when(c("reason").isNull(), c("selection") + c("ordering")).alias("loss"), "reason")
+
+
 def log_factorials(top: DataFrame) -> DataFrame:
     """(k, lf) with lf = ln k! up to the single number in ``top``."""
     numbers = top.select(F.explode(F.sequence(F.lit(0), top[top.columns[0]].cast("int"))).alias("k"))

@@ -202,6 +202,22 @@ def _(t):
 LOSSES = """losses AS (SELECT l_suppkey AS venue, CASE (l_linenumber - 1) % 5 WHEN 0 THEN 'L0' WHEN 1 THEN 'LH' WHEN 2 THEN 'LE' WHEN 3 THEN 'LHE' ELSE 'LHEI' END AS model, avg(l_quantity) AS loss FROM lineitem GROUP BY 1, 2)"""
 
 
+@query(
+    "joint_loss_decomposition",
+    """WITH m AS (SELECT l_suppkey AS venue, ['L0', 'LH', 'LE', 'LHE', 'LHEI'][(l_linenumber - 1) % 5 + 1] AS model, l_quantity AS q, l_extendedprice / 1000 AS p FROM lineitem),
+ s AS (SELECT venue, model, avg(q) AS loss, venue // 10 AS universe FROM m GROUP BY 1, 2), o AS (SELECT venue, model, avg(p) AS loss, CASE WHEN venue % 10 = 3 THEN -1 ELSE venue // 10 END AS universe FROM m GROUP BY 1, 2),
+ w AS (PIVOT (SELECT s.venue, s.model, s.loss + o.loss AS loss FROM s JOIN o USING (venue, model) WHERE s.universe = o.universe) ON model IN ('L0', 'LH', 'LE', 'LHE', 'LHEI') USING first(loss) GROUP BY venue)
+ SELECT venue, round(((L0-LH)+(LE-LHE))/(2*L0), 6) + 0.0 AS rule, round(((L0-LE)+(LH-LHE))/(2*L0), 6) + 0.0 AS similarity, round((LHE-LHEI)/L0, 6) + 0.0 AS identity, round(LHEI/L0, 6) AS residual FROM w""",
+)
+def _(t):
+    k = (c("line") - 1) % 5
+    d = t.plays.withColumn("model", F.when(k == 0, "L0").when(k == 1, "LH").when(k == 2, "LE").when(k == 3, "LHE").otherwise("LHEI"))
+    loss = lambda x, universe: d.groupBy("venue", "model").agg(F.avg(x).alias("loss")).withColumn("universe", universe)
+    world = F.floor(c("venue") / 10)
+    joint = op.joint_losses(loss(c("qty"), world), loss(c("price") / 1000, F.when(c("venue") % 10 == 3, -1).otherwise(world)), "venue")
+    return r6(op.loss_shares(joint.filter("reason IS NULL"), "venue"), ("rule", "similarity", "identity", "residual"), ("venue",))
+
+
 @query(
     "loss_decomposition",
     f"""WITH {LOSSES}, w AS (PIVOT losses ON model IN ('L0', 'LH', 'LE', 'LHE', 'LHEI') USING first(loss) GROUP BY venue), s AS (SELECT *, ((L0-LH)+(LE-LHE))/(2*L0) AS rule, ((L0-LE)+(LH-LHE))/(2*L0) AS similarity, (LHE-LHEI)/L0 AS identity, LHEI/L0 AS residual FROM w)
