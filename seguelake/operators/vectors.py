@@ -344,13 +344,20 @@ def choice_metrics(losses: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def novelty_distance(queries: DataFrame, seen: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
-    """(per query 1 - best cosine to the seen vectors, rank correlation of that with the error)."""
-    from seguelake.operators.evaluation import rank_correlations
-
-    near = knn_join(queries, seen, 1).select(c("q").alias("id"), rounded(1 - c("sim"), 9).alias("novelty"))
-    d = queries.select("id", error).join(near, "id").withColumn("all", F.lit(1))
-    return d.drop("all"), rank_correlations(d, ["all"], "novelty", error).drop("all")
+def novelty_distance(queries: DataFrame, seen: DataFrame) -> DataFrame:
+    """(id, nearest, novelty): the most similar seen vector of every query and 1 - its cosine."""
+    return knn_join(queries, seen, 1).select(c("q").alias("id"), c("t").alias("nearest"), rounded(1 - c("sim"), 9).alias("novelty"))
+
+
+def novelty_terciles(cases: DataFrame, error: str) -> DataFrame:
+    """cases(id, novelty, error): three parts of near-equal size by novelty, the first ones larger, with their mean novelty and error."""
+    placed = grouping.numbered(cases, [c("novelty").asc(), c("id").asc()], "__place")
+    n = cases.agg(F.count(F.lit(1))).scalar()
+    small, extra = F.floor(c("__n") / 3), c("__n") % 3
+    wide = extra * (small + 1)  # rows in the larger parts
+    part = F.when(c("__place") <= wide, F.floor((c("__place") - 1) / (small + 1)) + 1).otherwise(extra + F.floor((c("__place") - 1 - wide) / F.greatest(small, F.lit(1))) + 1)
+    d = placed.withColumn("__n", n).withColumn("tercile", part.cast("int"))
+    return d.groupBy("tercile").agg(F.count(F.lit(1)).alias("n"), F.avg("novelty").alias("novelty"), F.avg(error).alias("error"))
 
 
 def ranking_table(pools: DataFrame, context: DataFrame, items: DataFrame) -> DataFrame:

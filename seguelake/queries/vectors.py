@@ -9,7 +9,8 @@ from seguelake.operators import choice_model
 from seguelake.operators import vectors as op
 from seguelake.operators.discovery import discovery_list
 from seguelake.queries import query
-from seguelake.queries.evaluation import r6
+from seguelake.operators.evaluation import rank_correlations
+from seguelake.queries.evaluation import TAU, r6
 from seguelake.queries.pairs import HEX, slot_pairs
 
 c = F.col
@@ -216,20 +217,36 @@ def _(t):
     return r6(out, ("nll", "top1", "mrr", "uniform_nll"), ("model", "split", "cases", "known_dj"))
 
 
+# the error of a case is how far the group of its nearest seen vector lies from its own
+NOVELTY = f"""{VU}, s AS (SELECT * FROM vu WHERE id % 10 < 7), q AS (SELECT * FROM vu WHERE id % 10 >= 7), nv AS (SELECT q.id, any_value(q.grp) AS grp, round(1 - max(list_dot_product(q.v, s.v)), 9) AS novelty, arg_max(s.grp, (round(list_dot_product(q.v, s.v), 12), -s.id)) AS seen FROM q, s GROUP BY q.id),
+ cs AS (SELECT id, novelty, abs(seen - grp)::DOUBLE AS err FROM nv)"""
+
+
+def novel_cases(t):
+    own, seen = t.vectors.filter(c("id") % 10 >= 7), t.vectors.filter(c("id") % 10 < 7)
+    near = op.novelty_distance(own, seen)
+    groups = t.vectors.select(c("id").alias("g_id"), c("grp").alias("g"))
+    mine, other = groups.toDF("m_id", "mine"), groups.toDF("o_id", "other")
+    d = near.join(mine, c("id") == c("m_id")).join(other, c("nearest") == c("o_id"))
+    return d.select("id", "novelty", F.abs(c("other") - c("mine")).cast("double").alias("err"))
+
+
+@query("novelty_distance", f"WITH {NOVELTY} SELECT id, round(novelty, 6) + 0.0 AS novelty, err FROM cs")
+def _(t):
+    return novel_cases(t).select("id", rounded(c("novelty")).alias("novelty"), "err")
+
+
 @query(
-    "novelty_distance",
-    f"""WITH {VU}, s AS (SELECT * FROM vu WHERE grp < 7), q AS (SELECT * FROM vu WHERE grp >= 7) SELECT q.id, round(1 - max(list_dot_product(q.v, s.v)), 6) + 0.0 AS novelty FROM q, s GROUP BY 1""",
+    "novelty_correlation",
+    f"""WITH {NOVELTY}, ratings AS (SELECT 0 AS session, novelty AS score, err AS rating FROM cs), {TAU} SELECT n, round(r, 6) + 0.0 AS r, round(rho, 6) + 0.0 AS rho, round(tau, 6) + 0.0 AS tau FROM rc JOIN kt USING (session)""",
 )
 def _(t):
-    d = t.vectors.withColumn("err", c("id") % 13 / 13.0)
-    per, _ = op.novelty_distance(d.filter(c("grp") >= 7), d.filter(c("grp") < 7), "err")
-    return per.select("id", rounded(c("novelty")).alias("novelty"))
+    return r6(rank_correlations(novel_cases(t).withColumn("all", F.lit(1)), ["all"], "novelty", "err").drop("all"), ("r", "rho", "tau"), ("n",))
 
 
-@query("novelty_correlation")
+@query("novelty_terciles", f"WITH {NOVELTY}, z AS (SELECT *, ntile(3) OVER (ORDER BY novelty, id) AS k FROM cs) SELECT CAST(k AS INTEGER) AS tercile, count(*) AS n, round(avg(novelty), 6) + 0.0 AS novelty, round(avg(err), 6) + 0.0 AS error FROM z GROUP BY 1")
 def _(t):
-    d = t.vectors.withColumn("err", c("id") % 13 / 13.0)
-    return r6(op.novelty_distance(d.filter(c("grp") >= 7), d.filter(c("grp") < 7), "err")[1], ("r", "rho", "tau"), ("n",))
+    return r6(op.novelty_terciles(novel_cases(t), "err"), ("novelty", "error"), ("tercile", "n"))
 
 
 @query(
