@@ -14,11 +14,11 @@ def events(t):
     return op.replay(t.spark, t.folder, "events", "ts")
 
 
-def to_the_end(t, job, mode, keys=None):
+def to_the_end(t, job, mode, keys=None, keyed=False):
     """Drain ``job`` over all events and close it at the end of the feed."""
     stream = events(t)
     feed = op.with_end(stream, "ts")
-    return op.drain(job(feed.stream), mode, keys, lambda: op.write_end(t.spark, stream.schema, feed.marks, "ts"))
+    return op.drain(job(feed.stream), mode, keys, lambda: op.write_end(t.spark, stream.schema, feed.marks, "ts"), keyed=keyed)
 
 
 def secs(name):
@@ -59,7 +59,7 @@ def _(t):
         named = e.withColumn("name", F.when(c("event_type") == "click", "ID").otherwise(c("event_type"))).withColumn("person", c("event_id") % 7)
         return state.merged_bursts(named, "user_id", "ts", "person", "name", "event_id", 7200.0, 14400.0, "1 hour")
 
-    return to_the_end(t, job, "append").select(c("key").cast("long").alias("user_id"), "start", "middle", "votes", "people", "label")
+    return to_the_end(t, job, "append", keyed=True).select(c("key").cast("long").alias("user_id"), "start", "middle", "votes", "people", "label")
 
 
 @query(
@@ -103,7 +103,7 @@ def _(t):
 
 
 def history(t):
-    d = to_the_end(t, lambda e: state.recent_edges(e, "user_id", "ts", "event_type", "event_id", 20, "1 hour"), "update", ["key"])
+    d = to_the_end(t, lambda e: state.recent_edges(e, "user_id", "ts", "event_type", "event_id", 20, "1 hour"), "update", ["key"], keyed=True)
     return d.withColumn("user_id", c("key").cast("long"))
 
 

@@ -62,14 +62,14 @@ def write_end(spark: SparkSession, feed_schema: T.StructType, marks: str, time:
     spark.range(1).select(*columns).write.mode("append").parquet(marks)
 
 
-def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, end: Callable[[], None] | None = None, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, end: Callable[[], None] | None = None, checkpoint: str | None = None, out: str | None = None, keyed: bool = False) -> DataFrame:
     """Process all available input; with ``keys`` the newest row per key wins over older batches.
 
     ``end`` writes the feed's end mark once all input is read; the job then goes on from
     its checkpoint and closes what is open.  A given ``checkpoint`` and ``out`` are continued.
+    ``keyed`` jobs, which hold lists, maps and timers, keep their state in RocksDB.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # state on disk, with timers
     out, checkpoint = out or scratch_path(spark, "feed"), checkpoint or scratch_path(spark, "offsets")
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -80,10 +80,18 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, end: Call
         query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(save).start()
         query.awaitTermination()
 
-    run()
-    if end is not None:
-        end()
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    if keyed:
+        spark.conf.set(store, STATE_STORE)
+    try:
         run()
+        if end is not None:
+            end()
+            run()
+    finally:
+        if keyed:
+            spark.conf.unset(store) if before is None else spark.conf.set(store, before)
     rows = spark.read.parquet(out).drop("part")
     if keys:
         rows = grouping.first_rows(rows, keys, [c("__batch").desc()])

@@ -68,7 +68,7 @@ def bursts_of(spark, folder, end=True, **places):
     feed = feeds.with_end(stream, "ts") if "marks" not in places else feeds.Feed(stream.unionByName(spark.readStream.schema(stream.schema).parquet(places["marks"])), places.pop("marks"))
     job = state.merged_bursts(feed.stream, "who", "ts", "person", "name", "event_id", delay="5 seconds")
     closing = (lambda: feeds.write_end(spark, stream.schema, feed.marks, "ts")) if end else None
-    rows = feeds.drain(job, "append", end=closing, **places).collect()
+    rows = feeds.drain(job, "append", end=closing, keyed=True, **places).collect()
     origin = round((START - datetime(1970, 1, 1)) / timedelta(microseconds=1))
     return sorted(((int(r.key), r.start - origin, r.middle - origin, r.votes, r.people, r.label) for r in rows), key=str), feed
 
@@ -98,5 +98,5 @@ def test_recent_edges(spark, tmp_path):
     stream = feeds.replay(spark, str(tmp_path), "talk", "ts", files_per_batch=1)
     feed = feeds.with_end(stream, "ts")
     job = state.recent_edges(feed.stream, "who", "ts", "name", "event_id", 4, "5 seconds")
-    got = feeds.drain(job, "update", ["key"], lambda: feeds.write_end(spark, stream.schema, feed.marks, "ts")).collect()
+    got = feeds.drain(job, "update", ["key"], lambda: feeds.write_end(spark, stream.schema, feed.marks, "ts"), keyed=True).collect()
     assert {r.key: ([tuple(e) for e in r.edges], [tuple(p) for p in r.plays]) for r in got} == steps(rows, 4)
