@@ -231,13 +231,15 @@ def draw_decoys(cases: DataFrame, numbered: DataFrame, n: int, seed: int, spare:
     taken whole.  A case meets n + ``spare`` places, not its pool.
     """
     sizes = numbered.groupBy("pool").agg(F.count(F.lit(1)).alias("size"))
+    if "cur" not in cases.columns:  # cases without a current item
+        cases = cases.withColumn("cur", F.lit(None).cast("long"))
     d = cases.join(sizes, "pool").withColumn("take", F.least(F.lit(n + spare).cast("long"), c("size")))
     hex_int = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
     d = d.withColumn("start", hex_int(hashes.seeded(seed, c("case")), 1)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), c("take") - 1)))
     stride = F.floor(c("size") / c("take"))
     jitter = hex_int(hashes.seeded(seed, c("case"), c("j")), 1) % stride
     drawn = d.withColumn("pos", (c("start") + c("j") * stride + jitter) % c("size") + 1).join(numbered, ["pool", "pos"])
-    decoys = drawn.filter((c("item") != c("true_item")) & (c("item") != c("cur"))).select("case", "pool", "item", "j")
+    decoys = drawn.filter((c("item") != c("true_item")) & ~c("item").eqNullSafe(c("cur"))).select("case", "pool", "item", "j")
     if excluded is not None:
         decoys = decoys.join(excluded.select("case", "item").distinct(), ["case", "item"], "left_anti")
     kept = grouping.first_rows(decoys, ["case"], ["j"], n - 1).select("case", "pool", "item", F.lit(False).alias("is_true"))
