@@ -304,7 +304,13 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of each group, one row per id; rows without an id all stay."""
+    """The documents with the smallest id of each group, one row per id and text; rows without an id all stay.
+
+    Rows that share an id but not a text are documents of their own: none is dropped for
+    another.  Among rows alike in both the one with the smallest hash of all its columns stays.
+    """
     linked = link_documents(docs, n, percent)
     firsts = linked.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    kept = docs.join(firsts, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text")).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row"))
+    return kept.select("__row.*").unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)

@@ -99,3 +99,14 @@ def test_quality_rules_reject_junk_in_small_strata(spark):
     few = labels.filter("doc_id < 950 or doc_id > 1500")
     limits = quality_rules.thresholds(statistics.document_counts(docs, keep=("doc_id", "lang")), few, "lang")
     assert {(r.stratum, r.pooled) for r in quality_rules.uncovered(limits).collect()} == {("es", True), ("mt", True)}
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    from seguelake.llm import jaccard_join
+
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one, "x"), (1, other, "y"), (2, one, "z"), (1, one, "w"), (3, other + " end", "v")]
+    kept = [tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()]
+    assert sorted(r[:2] for r in kept) == [(1, one), (1, other)]
+    again = [tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(2)).collect()]
+    assert sorted(kept) == sorted(again)
