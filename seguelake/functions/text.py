@@ -35,6 +35,11 @@ def unaccented(text: Column) -> Column:
     return F.coalesce(decomposed(F.when(swapped.rlike(r"[^\x00-\x7f]"), swapped)), swapped)
 
 
+def whole_word(word: str) -> str:
+    """Pattern of a word between characters that are no letter, number or underscore of any script, in any case."""
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])"
+
+
 def words_key(text: Column) -> Column:
     """Lower-case words separated by single blanks."""
     return F.trim(F.regexp_replace(F.lower(unaccented(text)), r"[^a-z0-9]+", " "))

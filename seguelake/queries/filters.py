@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from seguelake.bindings import FRAMES, MIXES, SLOTS, TRACKS, sql_fold
+from seguelake.bindings import FRAMES, MIXES, SLOTS, TRACKS, sql_fold, sql_whole_word
 from seguelake.functions import tempo, text
 from seguelake.functions.numeric import rounded
 from seguelake.operators import filters as op
@@ -91,15 +91,15 @@ def _(t):
 
 @query(
     "event_membership",
-    r"""WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, text FROM documents) SELECT doc_id,
- CASE WHEN regexp_matches(title, '(?i)\bthe\b') THEN 'alpha' WHEN regexp_matches(title || ' ' || text, '(?i)\bdes\b') THEN 'beta' ELSE 'gamma' END AS event
- FROM d WHERE NOT regexp_matches(title, '(?i)license|copyright') AND (regexp_matches(title, '(?i)\bthe\b')
- OR regexp_matches(title || ' ' || text, '(?i)\bdes\b') OR regexp_matches(title || ' ' || text, '(?i)\bund\b'))""",
+    f"""WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, text FROM documents) SELECT doc_id,
+ CASE WHEN {sql_whole_word("title", "the")} THEN 'alpha' WHEN {sql_whole_word("title || ' ' || text", "des")} THEN 'beta' ELSE 'gamma' END AS event
+ FROM d WHERE NOT regexp_matches(title, '(?i)license|copyright') AND ({sql_whole_word("title", "the")}
+ OR {sql_whole_word("title || ' ' || text", "des")} OR {sql_whole_word("title || ' ' || text", "und")})""",
 )
 def _(t):
     d = t.documents.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text")
-    rules = [("alpha", r"(?i)\bthe\b", True), ("beta", r"(?i)\bdes\b", False), ("gamma", r"(?i)\bund\b", False)]
-    return op.event_membership(d, "title", "text", rules, "(?i)license|copyright").select("doc_id", "event")
+    rules = [("alpha", text.whole_word("the"), True), ("beta", text.whole_word("des"), False), ("gamma", text.whole_word("und"), False)]
+    return op.event_membership(d, "title", "text", rules, "(?iu)license|copyright").select("doc_id", "event")
 
 
 BANDS = f"""WITH {SLOTS}, {TRACKS}, req AS (SELECT mix AS req, bpm AS previous, bpm * 1.02 AS target FROM slots JOIN tracks USING (track) WHERE position = 1),
