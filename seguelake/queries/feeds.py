@@ -107,9 +107,10 @@ def history(t):
     return d.withColumn("user_id", c("key").cast("long"))
 
 
-@query("play_history_state", "SELECT user_id, event_type AS item, count(*) AS plays FROM events GROUP BY 1, 2")
+@query("play_history_state", "SELECT user_id, event_type AS item, count(*) AS plays, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM events GROUP BY 1, 2")
 def _(t):
-    return history(t).select("user_id", F.explode("plays").alias("p")).select("user_id", "p.item", c("p.n").alias("plays"))
+    played = history(t).select("user_id", F.explode(F.arrays_zip("plays", "lasts")).alias("p"))
+    return played.select("user_id", "p.plays.item", c("p.plays.n").alias("plays"), F.floor(c("p.lasts.us") / 1_000_000).alias("last"))
 
 
 @query(

@@ -107,7 +107,7 @@ class MergedBursts(Waiting):
 
 
 class RecentEdges(Waiting):
-    """Steps between successive plays of a key, the last ``limit`` of them, and how often each item was played."""
+    """Steps between successive plays of a key, the last ``limit`` of them, and how often and when last each item was played."""
 
     columns = ("us", "event", "item")
     waiting_schema = "us long, event string, item string"
@@ -119,7 +119,7 @@ class RecentEdges(Waiting):
         super().init(handle)
         self.last = handle.getValueState("last", "item string")
         self.edges = handle.getListState("edges", "us long, a string, b string")
-        self.plays = handle.getMapState("plays", "item string", "n long")
+        self.plays = handle.getMapState("plays", "item string", "n long, last long")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         past, future = self.taken(timerValues.getCurrentWatermarkInMs())
@@ -135,14 +135,17 @@ class RecentEdges(Waiting):
                 edges.append((us, last, item))
             last = item
             known = self.plays.getValue((item,))
-            self.plays.updateValue((item,), ((known[0] if known else 0) + 1,))
+            self.plays.updateValue((item,), ((known[0] if known else 0) + 1, us))  # rows come in order of time
         edges = edges[-self.limit :]
         self.last.update((last,))
         self.edges.put(edges) if edges else self.edges.clear()
-        plays = sorted((k[0], v[0]) for k, v in self.plays.iterator())
+        plays = sorted((k[0], *v) for k, v in self.plays.iterator())
         yield pd.DataFrame(
-            {"key": [key[0]], "upto": [past[-1][0]], "edges": [[{"a": a, "b": b} for _, a, b in edges[::-1]]], "plays": [[{"item": i, "n": n} for i, n in plays]]}
-        )
+            {
+                "key": [key[0]], "upto": [past[-1][0]], "edges": [[{"a": a, "b": b} for _, a, b in edges[::-1]]],
+                "plays": [[{"item": i, "n": n} for i, n, _ in plays]], "lasts": [[{"item": i, "us": us} for i, _, us in plays]],
+            }
+        )
 
 
 def _keyed(stream: DataFrame, by: str, time: str, delay: str, **columns) -> DataFrame:
@@ -159,7 +162,7 @@ def merged_bursts(stream: DataFrame, by: str, time: str, person: str, label: str
 
 
 def recent_edges(stream: DataFrame, by: str, time: str, item: str, event: str, limit: int = 200, delay: str = "1 minute") -> DataFrame:
-    """(key, upto, edges, plays): update mode; newest edges first; plays of equal time in order of ``event``."""
+    """(key, upto, edges, plays, lasts): update mode; newest edges first; plays of equal time in order of ``event``; ``lasts`` in the order of ``plays``."""
     rows = _keyed(stream, by, time, delay, event=F.lpad(c(event).cast("string"), 20, "0"), item=c(item))
-    schema = "key string, upto long, edges array<struct<a: string, b: string>>, plays array<struct<item: string, n: bigint>>"
+    schema = "key string, upto long, edges array<struct<a: string, b: string>>, plays array<struct<item: string, n: bigint>>, lasts array<struct<item: string, us: bigint>>"
     return rows.groupBy("key").transformWithStateInPandas(RecentEdges(limit), schema, "Update", "eventTime")
