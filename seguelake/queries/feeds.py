@@ -48,7 +48,7 @@ def _(t):
     "merged_bursts",
     """WITH RECURSIVE g AS (SELECT *, epoch_us(ts) AS us, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY us) AS run FROM g),
  o AS (SELECT *, list(us) OVER (PARTITION BY user_id, run ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM r),
- b AS (SELECT user_id, run, min(us) AS start, any_value((l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) // 2) AS middle, count(*) AS votes, count(DISTINCT event_id % 7) AS people, arg_min(event_type, us) FILTER (event_type <> 'click') AS label, row_number() OVER (PARTITION BY user_id ORDER BY run) AS k FROM o GROUP BY user_id, run),
+ b AS (SELECT user_id, run, min(us) AS start, any_value((l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) // 2) AS middle, count(*) AS votes, count(DISTINCT event_id % 7) AS people, arg_min(event_type, (us, event_type)) FILTER (event_type <> 'click') AS label, row_number() OVER (PARTITION BY user_id ORDER BY run) AS k FROM o GROUP BY user_id, run),
  m AS (SELECT user_id, k, start, middle, votes, people, label, 1 AS grp FROM b WHERE k = 1
   UNION ALL SELECT b.user_id, b.k, CASE WHEN j THEN m.start ELSE b.start END, CASE WHEN j THEN m.middle ELSE b.middle END, CASE WHEN j THEN m.votes + b.votes ELSE b.votes END, CASE WHEN j THEN m.people + b.people ELSE b.people END, CASE WHEN j THEN coalesce(m.label, b.label) ELSE b.label END, CASE WHEN j THEN m.grp ELSE m.grp + 1 END
   FROM m JOIN b ON b.user_id = m.user_id AND b.k = m.k + 1, LATERAL (SELECT b.middle - m.middle < 14400000000 AS j) x)
