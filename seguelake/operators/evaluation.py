@@ -364,14 +364,51 @@ def ablation_ladder(cases: DataFrame, case: list[str], truth: Column, rungs: lis
     return out.withColumn("delta", c("median_pct") - F.lag("median_pct").over(w))
 
 
-def exact_assignment(df: DataFrame, test: str, value: str, control: str, decimals: int = 6) -> DataFrame:
+def _tail_part(v: np.ndarray, m: np.ndarray, chosen: int, observed: int, part: int, parts: int) -> tuple[float, float]:
+    """Share of one part of the frequencies in P(chosen many, sum at most the observed one) and P(chosen many), with every row picked by a coin."""
+    n = int(m.sum())
+    step = int(np.gcd.reduce(v - v[0])) or 1
+    place = (v - v[0]) // step  # sums of places tell sums of values apart, given how many were chosen
+    limit = (observed - chosen * int(v[0])) // step
+    ends = np.cumsum(m)
+    low = int((place * np.diff(np.minimum(ends, chosen), prepend=0)).sum())
+    high = int((place * np.diff(np.maximum(ends - (n - chosen), 0), prepend=0)).sum())
+    # Hoeffding: sums or numbers beyond these distances weigh less than 1e-21, far below what a double tells apart
+    mean, far = chosen * float((place * m).sum()) / n, 5.0 * float(place[-1]) * min(chosen, n - chosen) ** 0.5 + 1.0
+    low, high = max(low, int(np.floor(mean - far))), min(high, int(np.ceil(mean + far)))
+    width, count = high - low + 1, min(n + 1, int(np.ceil(5.0 * n**0.5)) + 1)
+    upto = min(max(limit - low + 1, 0), width)
+    coin = chosen / n
+    turns = np.arange(count)
+    below = several = 0.0
+    for b in range(part, width, parts):
+        angle = 2 * np.pi * (b * place % width) / width
+        # coefficient of "chosen many" in the product of (1 - coin + coin * y * x^place)^m at one x
+        log = np.zeros(count, complex)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for turn, many in zip(angle, m):
+                log += many * np.log((1 - coin) + coin * np.exp(1j * (2 * np.pi * turns / count + turn)))
+            term = np.where(np.isneginf(log.real), 0.0, np.exp(log))
+        found = (term * np.exp(-2j * np.pi * (turns * chosen % count) / count)).sum() / count
+        if b == 0:
+            several, kernel = float(found.real), upto / width
+        else:
+            around = lambda k: np.exp(-2j * np.pi * (b * k % width) / width)
+            kernel = around(low % width) * (1 - around(upto)) / (1 - around(1)) / width
+        below += float((found * kernel).real)
+    return below, several
+
+
+def exact_assignment(df: DataFrame, test: str, value: str, control: str, decimals: int = 6, parts: int = 64) -> DataFrame:
     """(test, n, controls, delta, p): exact one-sided test of treated mean minus control mean over all assignments.
 
     p is the share of all ways to choose as many controls whose delta is at least the observed
-    one.  Spark counts equal values per test; the ways to reach each (chosen, sum) are then
-    added up value by value, which covers all assignments without listing any.  Values count in
-    units of 10^-decimals; rows without value or flag are left out; delta and p are null without
-    a row on either side.
+    one.  Spark counts equal values per test; the generating function of (chosen, sum), which
+    covers all assignments without listing any, is turned back at the frequencies of the sum,
+    ``parts`` tasks a test.  Numbers and sums reach as far from their means as a double can
+    tell from nothing, so the work grows with distinct values x rows x range; p is right to
+    about 1e-9.  Values count in units of 10^-decimals; rows without value or flag are left out;
+    delta and p are null without a row on either side.
     """
     unit = 10**decimals
     rows = df.filter(c(value).isNotNull() & c(control).isNotNull()).select(test, F.round(c(value) * unit).cast("long").alias("v"), c(control).cast("int").alias("k"))
@@ -382,31 +419,19 @@ def exact_assignment(df: DataFrame, test: str, value: str, control: str, decimal
         group = group.sort_values("v")
         v, m, k = (group[x].to_numpy(np.int64) for x in ("v", "m", "k"))
         n, chosen = int(m.sum()), int(k.sum())
-        out = {test: [group[test].iloc[0]], "n": [n], "controls": [chosen], "delta": [None], "p": [None]}
+        out = {test: [group[test].iloc[0]], "n": [n], "controls": [chosen], "delta": [None], "below": [None], "several": [None]}
         if 0 < chosen < n:
             observed, total = int((v * k).sum()), int((v * m).sum())
-            step = int(np.gcd.reduce(v - v[0])) or 1
-            place = (v - v[0]) // step  # sums of places tell sums of values apart, given how many were chosen
-            width = int(np.sort(np.repeat(place, np.minimum(m, chosen)))[-chosen:].sum()) + 1
-            ways = np.zeros((chosen + 1, width))
-            ways[0, 0] = 1.0
-            for at, many in zip(place.tolist(), m.tolist()):
-                grown = np.zeros_like(ways)
-                weight = 1.0
-                for extra in range(min(many, chosen) + 1):
-                    if extra:
-                        weight *= (many - extra + 1) / extra
-                    shift = at * extra
-                    if shift < width:
-                        grown[extra:, shift:] += weight * ways[: chosen + 1 - extra, : width - shift]
-                ways = grown / grown.max()  # only shares matter
-            last = ways[chosen]
-            limit = (observed - chosen * int(v[0])) // step
-            out["p"] = [float(last[: limit + 1].sum() / last.sum())]  # a small control sum is a large delta
-            out["delta"] = [((total - observed) / (n - chosen) - observed / chosen) / unit]
+            below, several = _tail_part(v, m, chosen, observed, int(group["part"].iloc[0]), parts)  # a small control sum is a large delta
+            out.update(below=[below], several=[several], delta=[((total - observed) / (n - chosen) - observed / chosen) / unit])
         return pd.DataFrame(out)
 
-    return counts.groupBy(test).applyInPandas(solve, f"`{test}` {kind}, n long, controls long, delta double, p double")
+    shared = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    shared = shared.repartition(parts, test, "part")  # few rows with much work each: a fixed number keeps them in separate tasks
+    solved = shared.groupBy(test, "part").applyInPandas(solve, f"`{test}` {kind}, n long, controls long, delta double, below double, several double")
+    share = F.least(F.greatest(F.sum("below") / F.sum("several"), F.lit(0.0)), F.lit(1.0))
+    p = F.when(F.sum("several").isNotNull(), share)
+    return solved.groupBy(test).agg(F.max("n").alias("n"), F.max("controls").alias("controls"), F.max("delta").alias("delta"), p.alias("p"))
 
 
 def permutation_test(df: DataFrame, block: str, x: str, y: str, key: str, reps: int, seed: int) -> DataFrame:

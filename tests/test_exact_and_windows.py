@@ -1,6 +1,7 @@
 """The exact assignment test against enumeration; the window table function against the joins it replaces."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -53,3 +54,23 @@ def test_window_function(spark):
     span.selectExpr("g", "t AS peak", "s AS score", "0D AS first", "200D AS last").createOrReplaceTempView("candidate_peaks")
     by_sql = spark.sql("SELECT * FROM pick_windows(TABLE(candidate_peaks) PARTITION BY g ORDER BY (score DESC, peak), 1, 20D, 6D)").collect()
     assert sorted((r.peak, r.score) for r in by_sql) == sorted((r.peak, r.s) for r in want if r.rank == 1)
+
+
+def test_long_tests_against_convolution(spark):
+    """Values 0 and 1 only: the control sum is hypergeometric, whatever the number of rows."""
+    rows = spark.range(400_000).select(F.lit(1).alias("test"), (F.col("id") % 3 == 0).cast("double").alias("v"), (F.col("id") * 7919 % 400_009 < 60_000).alias("control"))
+    m, ones, k, seen = rows.select(F.count(F.lit(1)), F.sum("v").cast("long"), F.count_if("control"), F.sum(F.when(F.col("control"), F.col("v"))).cast("long")).first()
+    log_choose = lambda n, i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
+    weigh = lambda i: math.exp(log_choose(ones, i) + log_choose(m - ones, k - i) - log_choose(m, k))
+    want = sum(weigh(i) for i in range(max(0, seen - 5000), seen + 1))
+    found = exact_assignment(rows, "test", "v", "control").first()
+    assert 0.001 < want < 0.999 and found.p == pytest.approx(want, abs=1e-6)
+
+
+def test_first_and_last_assignment(spark):
+    values = [float(i % 7) for i in range(60)]
+    ordered = sorted(range(60), key=lambda i: values[i])
+    for chosen, p in ((ordered[:9], 1 / math.comb(9, 9)), (ordered[-9:], None)):
+        rows = [(1, x, i in chosen) for i, x in enumerate(values)]
+        found = exact_assignment(spark.createDataFrame(rows, "test long, v double, control boolean"), "test", "v", "control").first()
+        assert found.p == pytest.approx(1.0) if p is None else found.p == pytest.approx(1 / math.comb(60, 9), abs=1e-9)
