@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from seguelake import grouping
 from seguelake.functions import text, vectors
+from seguelake.operators.vectors import slices
 from seguelake.session import cut_lineage
 
 c = F.col
@@ -64,8 +65,8 @@ def placed(items: DataFrame, reach: float) -> DataFrame:
         radius[r["cell"]] = r["radius"]
 
     def open_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if len(p):
+        for whole in parts:
+            for p in slices(whole):  # a row may name every cell
                 hit = distances(p) <= radius + reach + 1e-9
                 yield p[["id", "v", "cell"]].assign(cells=[[{"cell": int(x), "parts": blocks[int(x)]} for x in np.flatnonzero(row)] for row in hit], parts=[blocks[x] for x in p["cell"]])
 
@@ -83,12 +84,14 @@ def near_ranks(queries: DataFrame, targets: DataFrame, near_copy: float) -> Data
     def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "near_kept": [], "near_open": []})
-        near = (_matrix(a["v"]) @ _matrix(b["v"]).T > near_copy) & (a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :])
-        ranks = np.where(near, b["rank"].to_numpy()[None, :], NO_RANK)
-        kept = b["kept"].to_numpy(bool)
-        best = lambda cols: ranks[:, cols].min(1, initial=NO_RANK)
-        out = pd.DataFrame({"id": a["id"], "near_kept": best(kept), "near_open": best(~kept)})
-        return out[(out["near_kept"] < NO_RANK) | (out["near_open"] < NO_RANK)]
+        targets, ranks, ids, kept = _matrix(b["v"]).T, b["rank"].to_numpy(), b["id"].to_numpy(), b["kept"].to_numpy(bool)
+        out = []
+        for part in slices(a):
+            near = (_matrix(part["v"]) @ targets > near_copy) & (part["id"].to_numpy()[:, None] != ids[None, :])
+            best = lambda cols: np.where(near[:, cols], ranks[cols], NO_RANK).min(1, initial=NO_RANK)  # noqa: B023, E731
+            out.append(pd.DataFrame({"id": part["id"], "near_kept": best(kept), "near_open": best(~kept)}))
+        found = pd.concat(out)
+        return found[(found["near_kept"] < NO_RANK) | (found["near_open"] < NO_RANK)]
 
     keys = ["cell", "qb", "tb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "id long, near_kept long, near_open long")
