@@ -496,6 +496,67 @@ def sequence_reconstruction(built: DataFrame, real: DataFrame, by: str, order: s
 
 
 def library_wide_rank(cases: DataFrame, library: DataFrame, value: str, truth: str, bins: int = 4096) -> DataFrame:
+def _short_orders(orders: DataFrame, by: str, item: str) -> DataFrame:
+    """A row per short group: sizes, correlation, rows (p, item, q) by p, and ``moves``, the places by p in the order of q."""
+    d = orders.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(c("p") == c("q")).alias("same_slot"), F.corr("p", "q").alias("r"), F.array_sort(F.collect_list(F.struct("p", item, "q"))).alias("rows")
+    )
+    moves = F.transform(F.array_sort(F.transform("rows", lambda x, i: F.struct(x["q"].alias("q"), i.alias("i")))), lambda x: x["i"])
+    d = d.withColumn("moves", moves)
+    steps = F.zip_with(F.slice("moves", F.lit(2), F.size("moves") - 1), F.slice("moves", F.lit(1), F.size("moves") - 1), lambda x, y: x - y)
+    return d.withColumn("steps", steps)
+
+
+def _matching(values: Column, test) -> Column:
+    return F.size(F.filter(values, test)).cast("long")
+
+
+def reconstruction_of_orders(orders: DataFrame, by: str, item: str, bins: list[Column]) -> DataFrame:
+    """``sequence_reconstruction`` of one table (by, item, p, q) in which an item of a group has one place ``p`` in the rebuilt order and one place ``q`` in the real one.
+
+    Short groups are counted inside one row; ``bins`` are written on a column ``position``.
+    """
+
+    def short(d: DataFrame) -> DataFrame:
+        d = _short_orders(d, by, item).filter(c("n") >= 2)
+        kept = _matching(c("steps"), lambda x: x == 1)
+        turned = F.aggregate(
+            F.transform("moves", lambda x, i: _matching(F.slice("moves", i + 2, F.size("moves")), lambda y: y < x)), F.lit(0).cast("long"), lambda total, x: total + x
+        )
+        tau = F.when(c("n") >= 3, 1 - 4.0 * turned / (c("n") * (c("n") - 1)))
+        return d.select(by, (c("n") - 1).alias("pairs"), kept.alias("kept"), tau.alias("tau")).withColumn("pairs_pct", rounded(c("kept") * 100.0 / c("pairs"), 4)).select(by, "pairs", "kept", "pairs_pct", "tau")
+
+    def long(d: DataFrame) -> DataFrame:
+        side = lambda place: d.select(by, item, c(place).alias("position"))
+        return sequence_reconstruction(side("p"), side("q"), by, "position", item, bins).select(by, "pairs", "kept", "pairs_pct", "tau")
+
+    return grouping.by_size(orders, [by], short, long, grouping.row_limit(orders))
+
+
+def agreement_of_orders(orders: DataFrame, by: str, item: str, bins, reps: int, seed: int) -> DataFrame:
+    """``order_agreement`` of one table (by, item, p, q) as for ``reconstruction_of_orders``; short groups are shuffled inside one row."""
+
+    def short(d: DataFrame) -> DataFrame:
+        d = _short_orders(d, by, item)
+        drawn = lambda rep: F.array_sort(F.transform("rows", lambda x: F.struct(F.xxhash64(F.lit(seed), rep, c(by), x[item]).alias("h"), x[item].alias("item"), x["q"].alias("q"))))
+        hits = lambda rep: _matching(F.transform(drawn(rep), lambda x, i: x["q"] == i + 1), lambda hit: hit)
+        d = d.withColumn("hits", F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(reps)), hits)))
+        at = 0.95 * (reps - 1)
+        low, high, part = int(at), min(int(at) + 1, reps - 1), at - int(at)
+        total = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x)
+        pairs = lambda test: F.when(c("n") >= 2, _matching(c("steps"), test))
+        return d.select(
+            by, "n", "same_slot", "r", pairs(lambda x: x == 1).alias("pairs_exact"), pairs(lambda x: F.abs(x) == 1).alias("pairs_either"),
+            (total / reps).alias("control_mean"), (F.get("hits", F.lit(low)) * (1 - part) + F.get("hits", F.lit(high)) * part).alias("control_p95"),
+        )
+
+    def long(d: DataFrame) -> DataFrame:
+        side = lambda place: d.select(by, item, c(place).alias("position"))
+        return order_agreement(side("p"), side("q"), by, "position", item, bins, reps, seed)
+
+    return grouping.by_size(orders, [by], short, long, grouping.row_limit(orders))
+
+
     """cases(case, target, truth value): share of the whole library scored strictly above the true item.
 
     The score is -|value - target|, so library rows nearer to the target than the true
