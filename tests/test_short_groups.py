@@ -37,6 +37,16 @@ def orders(spark):
     return spark.createDataFrame(out, "mix long, track long, p long, q long")
 
 
+def test_runs_walked_and_jumped_agree(spark):
+    draw = np.random.default_rng(1)
+    data = [(g, i + 1, int(draw.integers(6)), None if draw.random() < 0.1 else int(draw.integers(5)), bool(draw.random() < 0.9)) for g in range(12) for i in range(int(draw.integers(1, 30)))]
+    d = spark.createDataFrame(data, "mix long, position long, item long, audio long, qualified boolean").filter("qualified")
+    bins = [F.floor(c("position") / 4)]
+    short = series._walked_runs(d, "mix", "position", ["item", "audio"], 2)
+    assert rows(short) == rows(series._jumped_runs(d, "mix", "position", bins, ["item", "audio"], 2).select(short.columns))
+    assert short.count()
+
+
 def test_orders_short_and_long_agree(spark, orders):
     bins = [F.floor(c("position") / 4)]
     short = (evaluation.reconstruction_of_orders(orders, "mix", "track", bins), evaluation.agreement_of_orders(orders, "mix", "track", bins, 6, 5))
