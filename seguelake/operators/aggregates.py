@@ -201,7 +201,7 @@ def transition_signature(pairs: DataFrame, by: str, min_n: int = 5) -> DataFrame
         F.avg(c("relation").isin(*SAFE_RELATIONS).cast("double")).alias("safe"),
     )
     out = out.filter((c("n") >= min_n) & (c("n_jump") >= min_n)).drop("n_jump")
-    out = out.withColumn("sound", rounded(c("sound"), 9))
+    out = cut_lineage(out.withColumn("sound", rounded(c("sound"), 9)))  # a row per group, read by the total, the counts and the join
     total = out.agg(F.count(F.lit(1))).scalar()
     return share_below(out, [], "sound", "__below").withColumn("below", c("__below") / total).drop("__below")
 

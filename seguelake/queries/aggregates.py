@@ -180,9 +180,11 @@ COS = "list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0}) * list_dot_p
 
 
 def signature_pairs(t):
-    d = with_track_features(slot_pairs(t), t.tracks, ["bpm", "key"]).join(t.mixes.select("mix", "dj"), "mix")
+    """Pairs of a DJ; the facts of a track travel with its vector, so each end is looked up once."""
+    d = slot_pairs(t).join(t.mixes.select("mix", "dj"), "mix").select("dj", "a", "b")
+    facts = t.tracks.select("track", "bpm", "key").join(t.vectors.select(c("id").alias("track"), "vec"), "track", "left")
     for s in ("a", "b"):
-        d = d.join(t.vectors.select(c("id").alias(s), c("vec").alias(f"v{s}")), s, "left")
+        d = d.join(facts.select(c("track").alias(s), c("bpm").alias(f"bpm_{s}"), c("key").alias(f"key_{s}"), c("vec").alias(f"v{s}")), s)
     return d.select(
         "dj",
         (1 - vectors.cosine(c("va"), c("vb"))).alias("distance"),

@@ -63,3 +63,10 @@ def test_orders_above_the_limit(small_groups, orders):
     small_groups.conf.unset("seguelake.hotGroupRows")
     for x, y in zip(mixed, evaluation.reconstruction_of_orders(orders, "mix", "track", bins).orderBy("mix").collect(), strict=True):
         assert x.asDict() == pytest.approx(y.asDict(), abs=1e-9)
+
+
+def test_signature_reads_its_pairs_once(spark):
+    d = spark.range(40).select((c("id") % 5).alias("dj"), (c("id") / 7).alias("distance"), (c("id") % 3).cast("double").alias("jump"), F.lit("exact").alias("relation"))
+    d, seen = counted(spark, d, "distance")
+    assert len(aggregates.transition_signature(d, "dj", 2).collect()) == 5
+    assert seen.value == 40
