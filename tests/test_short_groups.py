@@ -70,3 +70,11 @@ def test_signature_reads_its_pairs_once(spark):
     d, seen = counted(spark, d, "distance")
     assert len(aggregates.transition_signature(d, "dj", 2).collect()) == 5
     assert seen.value == 40
+
+
+def test_only_light_vectors_are_broadcast(spark, monkeypatch):
+    table = spark.createDataFrame([(1, [0.0, 1.0]), (2, None)], "id long, vec array<double>")
+    plan = lambda: vectors.light(table)._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 8)
+    assert "broadcast" not in plan()
