@@ -72,6 +72,17 @@ def test_signature_reads_its_pairs_once(spark):
     assert seen.value == 40
 
 
+def test_contour_moves_ids(spark):
+    draw = np.random.default_rng(5)
+    vecs = {i: draw.normal(size=4).tolist() for i in range(4)}
+    plays = [(1, 1, 1, 0), (1, 1, 2, 9), (1, 1, 3, 2), (1, 1, 4, 3), (1, 2, 1, 1), (2, 5, 1, 1), (2, 5, 2, 1)]  # 9 has no vector
+    table = spark.createDataFrame(list(vecs.items()), "id long, vec array<double>")
+    out = series.jump_contour(spark.createDataFrame(plays, "dj long, mix long, position long, id long"), table, "dj", "mix", "position", [F.lit(0)])
+    cos = lambda a, b: np.dot(vecs[a], vecs[b]) / np.linalg.norm(vecs[a]) / np.linalg.norm(vecs[b])
+    got = {(r["dj"], r["mix"], r["position"]): r["cos"] for r in out.collect()}
+    assert got == pytest.approx({(1, 1, 1): cos(0, 2), (1, 1, 3): cos(2, 3), (2, 5, 1): 1.0})
+
+
 def test_only_light_vectors_are_broadcast(spark, monkeypatch):
     table = spark.createDataFrame([(1, [0.0, 1.0]), (2, None)], "id long, vec array<double>")
     plan = lambda: vectors.light(table)._jdf.queryExecution().logical().toString()
