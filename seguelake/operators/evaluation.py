@@ -11,6 +11,7 @@ from seguelake import grouping
 from seguelake.functions import hashes
 from seguelake.functions.numeric import rounded
 from seguelake.operators.aggregates import share_below
+from seguelake.session import cut_lineage
 
 c = F.col
 
@@ -348,18 +349,28 @@ def selection_baseline(cases: DataFrame, n: str, m: str) -> DataFrame:
 
 def ablation_ladder(cases: DataFrame, case: list[str], truth: Column, rungs: list[tuple[str, dict[str, float]]]) -> DataFrame:
     """Same cases under nested weight sets: metrics per rung and change from the previous rung."""
-    scores = F.array(
-        *[
-            F.struct(F.lit(i).alias("step"), F.lit(n).alias("rung"), sum((w * c(k) for k, w in ws.items()), F.lit(0.0)).alias("score"))
-            for i, (n, ws) in enumerate(rungs)
-        ]
-    )
-    flat = cases.withColumn("s", F.explode(scores)).select(*case, "s.*", truth.alias("is_true"))
-    ranks = case_ranks(flat, [*case, "step", "rung"], "score", c("is_true")).filter(c("n") >= 2)
-    ranks = ranks.withColumn("pct", (c("rank") - 1) / (c("n") - 1))
-    out = ranks.groupBy("step", "rung").agg(
-        F.count(F.lit(1)).alias("cases"), F.avg((c("rank") <= 1).cast("double")).alias("top1"), F.avg((c("rank") <= 5).cast("double")).alias("top5")
-    ).join(grouping.quantiles(ranks, ["step"], "pct", {"median_pct": 0.5}), "step")
+    score = [sum((w * c(k) for k, w in ws.items()), F.lit(0.0)) for _, ws in rungs]
+    each = lambda make: [make(i) for i in range(len(rungs))]
+    best = cases.filter(truth).groupBy(*case).agg(*each(lambda i: F.max(score[i]).alias(f"__t{i}")))
+    d = cases.select(*case, *each(lambda i: score[i].alias(f"__s{i}"))).join(best, case)
+    counts = d.groupBy(*case).agg(
+        F.count(F.lit(1)).alias("n"),
+        *each(lambda i: F.struct(
+            F.lit(i).alias("step"), F.lit(rungs[i][0]).alias("rung"), F.count_if(c(f"__s{i}") > c(f"__t{i}")).alias("better"), F.count_if(c(f"__s{i}") == c(f"__t{i}")).alias("ties"), F.max(f"__t{i}").alias("t")
+        ).alias(f"__r{i}")),
+    )
+    ranks = counts.filter(c("n") >= 2).select("n", F.explode(F.array(*each(lambda i: c(f"__r{i}")))).alias("r")).filter(c("r.t").isNotNull())
+    ranks = ranks.select("n", "r.step", "r.rung", (1 + c("r.better") + (c("r.ties") - 1) / 2).alias("rank"))
+    # cases of one size and rank count alike
+    cells = cut_lineage(ranks.groupBy("step", "rung", "n", "rank").agg(F.count(F.lit(1)).alias("w")).withColumn("pct", (c("rank") - 1) / (c("n") - 1)))
+    share = lambda k: (F.sum(F.when(c("rank") <= k, c("w")).otherwise(0)) / F.sum("w")).alias(f"top{k}")
+    out = cells.groupBy("step", "rung").agg(F.sum("w").alias("cases"), share(1), share(5))
+    shares = cells.groupBy("step", "pct").agg(F.sum("w").alias("w"))
+    ran = grouping.running(shares, ["step"], ["pct"], [F.floor(c("pct") * 4096)], sums={"upto": c("w")})
+    at = lambda place, name: F.min(F.when(c("upto") > place, c("pct"))).alias(name)
+    middle = (c("cases") - 1) / 2
+    medians = ran.join(F.broadcast(out.select("step", "cases")), "step").groupBy("step").agg(at(F.floor(middle), "__lo"), at(F.ceil(middle), "__hi"))
+    out = out.join(medians, "step").withColumn("median_pct", (c("__lo") + c("__hi")) / 2).drop("__lo", "__hi")
     w = Window.partitionBy(F.lit(0)).orderBy("step")  # one row per rung
     return out.withColumn("delta", c("median_pct") - F.lag("median_pct").over(w))
 
@@ -485,17 +496,6 @@ def _steps(df: DataFrame, by: str, order: str, item: str, bins) -> DataFrame:
     return grouping.windowed(df, [by], [order], bins, 1, step).filter(c("b").isNotNull()).select(by, c(item).alias("a"), "b")
 
 
-def sequence_reconstruction(built: DataFrame, real: DataFrame, by: str, order: str, item: str, bins: list[Column]) -> DataFrame:
-    """Share of real neighbour pairs present in the rebuilt order, per group."""
-    pairs = _steps(real, by, order, item, bins).distinct()
-    kept = pairs.join(_steps(built, by, order, item, bins).distinct().withColumn("k", F.lit(1)), [by, "a", "b"], "left")
-    share = kept.groupBy(by).agg(F.count(F.lit(1)).alias("pairs"), F.count("k").alias("kept"))
-    both = built.select(by, item, c(order).alias("p")).join(real.select(by, item, c(order).alias("q")), [by, item])
-    tau = rank_correlations(both, [by], "p", "q").select(by, "tau")
-    return share.withColumn("pairs_pct", rounded(c("kept") * 100.0 / c("pairs"), 4)).join(tau, by, "left")
-
-
-def library_wide_rank(cases: DataFrame, library: DataFrame, value: str, truth: str, bins: int = 4096) -> DataFrame:
 def _short_orders(orders: DataFrame, by: str, item: str) -> DataFrame:
     """A row per short group: sizes, correlation, rows (p, item, q) by p, and ``moves``, the places by p in the order of q."""
     d = orders.groupBy(by).agg(
@@ -557,6 +557,17 @@ def agreement_of_orders(orders: DataFrame, by: str, item: str, bins, reps: int,
     return grouping.by_size(orders, [by], short, long, grouping.row_limit(orders))
 
 
+def sequence_reconstruction(built: DataFrame, real: DataFrame, by: str, order: str, item: str, bins: list[Column]) -> DataFrame:
+    """Share of real neighbour pairs present in the rebuilt order, per group."""
+    pairs = _steps(real, by, order, item, bins).distinct()
+    kept = pairs.join(_steps(built, by, order, item, bins).distinct().withColumn("k", F.lit(1)), [by, "a", "b"], "left")
+    share = kept.groupBy(by).agg(F.count(F.lit(1)).alias("pairs"), F.count("k").alias("kept"))
+    both = built.select(by, item, c(order).alias("p")).join(real.select(by, item, c(order).alias("q")), [by, item])
+    tau = rank_correlations(both, [by], "p", "q").select(by, "tau")
+    return share.withColumn("pairs_pct", rounded(c("kept") * 100.0 / c("pairs"), 4)).join(tau, by, "left")
+
+
+def library_wide_rank(cases: DataFrame, library: DataFrame, value: str, truth: str, bins: int = 4096) -> DataFrame:
     """cases(case, target, truth value): share of the whole library scored strictly above the true item.
 
     The score is -|value - target|, so library rows nearer to the target than the true

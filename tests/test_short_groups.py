@@ -72,6 +72,22 @@ def test_signature_reads_its_pairs_once(spark):
     assert seen.value == 40
 
 
+def test_ladder_reads_its_cases_twice_at_most(spark):
+    draw = np.random.default_rng(3)
+    data = [(case, at, float(draw.integers(4)), float(draw.integers(4))) for case in range(9) for at in range(1, 2 + case)]
+    d, seen = counted(spark, spark.createDataFrame(data, "mix long, position long, x double, y double"), "x")
+    got = evaluation.ablation_ladder(d, ["mix"], c("position") == 1, [("x", {"x": 1.0}), ("both", {"x": 1.0, "y": 0.5})]).orderBy("step").collect()
+    assert seen.value <= 2 * len(data)
+    for rung, score in zip(got, (lambda r: r[2], lambda r: r[2] + 0.5 * r[3])):
+        ranks = []
+        for case in range(1, 9):
+            scores = [score(r) for r in data if r[0] == case]
+            ranks.append((1 + sum(s > scores[0] for s in scores) + (sum(s == scores[0] for s in scores) - 1) / 2, len(scores)))
+        assert rung["cases"] == 8
+        assert rung["top1"] == pytest.approx(np.mean([r <= 1 for r, _ in ranks]))
+        assert rung["median_pct"] == pytest.approx(np.median([(r - 1) / (n - 1) for r, n in ranks]))
+
+
 def test_contour_moves_ids(spark):
     draw = np.random.default_rng(5)
     vecs = {i: draw.normal(size=4).tolist() for i in range(4)}
